@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, warc
+from . import chat, decontam, urlrules, warc
 from .common import shared_dir
 
 
@@ -38,12 +38,81 @@ FROM r
 """
 
 
+def op8_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(chat.by_parity(table(spark, sf_dir, "conversations")))
+
+
+OP8_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side,
+         CAST(turn AS BIGINT) AS pos, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations),
+m AS (
+  SELECT pair_id, pos,
+         coalesce(list_sort(list({'r': role, 't': text}) FILTER (side = 0)), []) AS c,
+         coalesce(list_sort(list({'r': role, 't': text}) FILTER (side = 1)), []) AS r
+  FROM t GROUP BY ALL),
+d AS (SELECT pair_id, min(pos) FILTER (c <> r) AS differs FROM m GROUP BY pair_id),
+i AS (SELECT pair_id, max(conv_id) FILTER (side = 0) AS chosen_id, max(conv_id) FILTER (side = 1) AS rejected_id FROM t GROUP BY pair_id),
+s AS (
+  SELECT t.pair_id, t.pos, t.side, t.role, t.text,
+         CASE WHEN d.differs IS NULL OR t.pos < d.differs THEN 'p' WHEN t.side = 0 THEN 'c' ELSE 'r' END AS kind,
+         '<|im_start|>' || t.role || chr(10) AS head, t.text || '<|im_end|>' || chr(10) AS body
+  FROM t JOIN d ON t.pair_id = d.pair_id),
+o AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, kind, side ORDER BY pos, role, text) AS upto
+  FROM s)
+SELECT i.pair_id, CAST(0 AS BIGINT) AS part, i.chosen_id, i.rejected_id,
+       CAST(count(*) FILTER (kind = 'p' AND side = 0) AS BIGINT) AS n_prompt_turns,
+       coalesce(string_agg(head || body, '' ORDER BY pos, role, text) FILTER (kind = 'p' AND side = 0), '') AS prompt,
+       coalesce(string_agg(head || body, '' ORDER BY pos, role, text) FILTER (kind = 'c'), '') AS chosen,
+       coalesce(string_agg((upto - length(body))::BIGINT || ':' || upto::BIGINT, ',' ORDER BY pos, role, text) FILTER (kind = 'c' AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(head || body, '' ORDER BY pos, role, text) FILTER (kind = 'r'), '') AS rejected,
+       coalesce(string_agg((upto - length(body))::BIGINT || ':' || upto::BIGINT, ',' ORDER BY pos, role, text) FILTER (kind = 'r' AND role = 'assistant'), '') AS rejected_spans
+FROM o JOIN i ON o.pair_id = i.pair_id GROUP BY ALL
+"""
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlrules.production(spark, pages).select("page_id", "host", "path", "rule", "verdict", "method_rule")
+
+
+OP10_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+v AS (
+  SELECT page_id, host, path,
+         CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+              WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+              WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
+         list_filter(['adult', 'betting', 'casino', 'escort', 'malware', 'phishing', 'porn', 'spam', 'torrent', 'viagra', 'warez', 'xxx'],
+                  lambda w: regexp_matches(host || path, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)')) AS ws
+  FROM u)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN len(ws) > 0 THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN rule IS NULL AND len(ws) > 0 THEN list_reverse_sort(list_transform(ws, lambda w: {'n': len(w), 'w': w}))[1].w END AS method_rule
+FROM v
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_warc_index": op2_warc_index,
+        "op8_chat_preferences": op8_chat_preferences,
+        "op10_url_rules": op10_url_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_index": OP2_SQL}
+    return {
+        "op2_warc_index": OP2_SQL,
+        "op8_chat_preferences": OP8_SQL,
+        "op10_url_rules": OP10_SQL,
+    }
