@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, urlrules, warc
+from . import chat, decontam, langid, toxicity, urlrules, warc
 from .common import shared_dir
 
 
@@ -38,6 +38,14 @@ FROM r
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preferences(chat.by_parity(table(spark, sf_dir, "conversations")))
 
@@ -105,7 +113,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_warc_index": op2_warc_index,
+        "op4_toxicity": op4_toxicity,
         "op8_chat_preferences": op8_chat_preferences,
+        "op9_language": op9_language,
         "op10_url_rules": op10_url_rules,
     }
 
