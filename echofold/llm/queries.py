@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, toxicity, urlrules, warc
+from . import chat, decontam, langid, pii, toxicity, urlrules, warc
 from .common import shared_dir
 
 
@@ -42,6 +42,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out(table(spark, sf_dir, "documents"))
 
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op2_warc_index": op2_warc_index,
         "op4_toxicity": op4_toxicity,
+        "op5_pii": op5_pii,
         "op8_chat_preferences": op8_chat_preferences,
         "op9_language": op9_language,
         "op10_url_rules": op10_url_rules,
