@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import drop_tables, shared_dir, written  # noqa: F401  for the operators here
+
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 WORD_TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256)
@@ -28,41 +29,6 @@ def utf8_values(column: pa.Array) -> list[bytes | None]:
     return column.to_pylist()
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for tables and files that driver and executors share, below spark.checkpoint.dir.
-
-    Only where that setting is absent (tests on one machine) a folder of the session's own is set.
-    """
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    root = f"file:///tmp/checkpoints/{sc.applicationId}"
-    sc.setCheckpointDir(root)
-    return root
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_shared(spark: SparkSession, path: str) -> None:
-    """Removes a folder that shared_dir() named."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def free_name(df: DataFrame, base: str) -> str:
     """A column name beginning with base that df does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

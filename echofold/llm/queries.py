@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, pii, toxicity, urlrules, warc
+from . import chat, decontam, langid, minhash, pii, toxicity, urlrules, warc
 from .common import shared_dir
 
 
@@ -38,6 +38,10 @@ FROM r
 """
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -117,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_warc_index": op2_warc_index,
+        "op3_near_duplicates": op3_near_duplicates,
         "op4_toxicity": op4_toxicity,
         "op5_pii": op5_pii,
         "op8_chat_preferences": op8_chat_preferences,
