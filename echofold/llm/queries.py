@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, minhash, pii, toxicity, urlrules, warc
+from . import chat, decontam, langid, minhash, pieces, pii, toxicity, urlrules, warc
 from .common import shared_dir
 
 
@@ -50,6 +50,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out(table(spark, sf_dir, "documents"))
 
@@ -124,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_duplicates": op3_near_duplicates,
         "op4_toxicity": op4_toxicity,
         "op5_pii": op5_pii,
+        "op6_sentencepiece": op6_sentencepiece,
         "op8_chat_preferences": op8_chat_preferences,
         "op9_language": op9_language,
         "op10_url_rules": op10_url_rules,
