@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, minhash, pieces, pii, toxicity, urlrules, warc
+from . import ann, chat, decontam, langid, minhash, pieces, pii, toxicity, urlrules, warc
 from .common import shared_dir
 
 
@@ -54,6 +55,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out(table(spark, sf_dir, "documents"))
 
@@ -129,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_pii": op5_pii,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_nearest": op7_nearest,
         "op8_chat_preferences": op8_chat_preferences,
         "op9_language": op9_language,
         "op10_url_rules": op10_url_rules,
