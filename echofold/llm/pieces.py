@@ -287,8 +287,16 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield rows
 
 
-def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, folder: str | None = None, chunk: int = CHUNK, with_ids: bool = False) -> DataFrame:
-    """Per row: key, n_tokens, ids_hash, round_trip (whether the ids decode to the text), and ids if asked for.
+RESULTS = "n_tokens long, ids_hash long, round_trip boolean, ids binary"
+ARROW = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+
+
+def results(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([r[k] for r in rows], t) for k, t in enumerate(ARROW)]
+
+
+def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str = MODEL, folder: str | None = None, chunk: int = CHUNK, with_ids: bool = False) -> DataFrame:
+    """Per row: the columns in keep, n_tokens, ids_hash, round_trip (whether the ids decode to the text), and ids if asked for.
 
     ``ids`` are the int32 ids as binary; of a text of several chunks, all of them in order.
     """
@@ -296,18 +304,18 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, folder: str
     path = tokenizer_path(model, folder)
     with open(path, "rb") as f:
         held = spark.sparkContext.broadcast(f.read())
-    out = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_hash", T.LongType()), T.StructField("round_trip", T.BooleanType()), *[T.StructField("ids", T.BinaryType())] * with_ids]
-    kind = docs.schema[key]
-    names = [key, *(f.name for f in out)]
-    types = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    own = [c for c in keep if c != "text"]
+    docs = docs.select(F.struct(*own, F.lit(0).alias("_")).alias("row"), "text")
+    row = T.StructField("row", T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema["row"].dataType.fields]))
+    ddl = lambda cols: T.StructType.fromDDL(cols).fields
+    out_names = ["row", "text", *(f.name for f in ddl(RESULTS))]
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(path, held.value)
         mark, space = MARK.encode(), b" "
         for batch in batches:
-            texts = utf8_values(batch.column(1))
             rows: list[tuple] = []
-            for t in texts:
+            for t in utf8_values(batch.column(1)):
                 if t is None:
                     rows.append((None,) * 4)
                     continue
@@ -315,13 +323,13 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, folder: str
                 ids = np.frombuffer(data, np.int32)
                 ok = pieces.raw_bytes(ids).replace(mark, space) == (space + t if t else t)
                 rows.append((len(ids), signed(digest(ids)), ok, data if with_ids else None))
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols[: len(out)]], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *results(rows)], names=out_names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(path, held.value)
         reach = 2 * pieces.longest
         for batch in batches:
+            types = [pa.int64(), batch.schema.field("row").type, pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             for r in batch.to_pylist():
                 text = MARK + r["text"].replace(" ", MARK)
                 rows = []
@@ -329,13 +337,14 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, folder: str
                 for k in range(n):
                     a, b = k * chunk, len(text) if k == n - 1 else (k + 1) * chunk
                     low = max(0, a - reach)
-                    rows.append((r["uid"], r[key], k, k == n - 1, MARK not in r["text"], a - low, b - low, text[low : b + reach]))
-                yield pa.RecordBatch.from_arrays([pa.array(c) if k != 1 else pa.array(c, batch.schema.field(key).type) for k, c in enumerate(zip(*rows, strict=True))], names=["uid", key, "no", "final", "plain", "a", "b", "text"])
+                    # the row's columns travel with its first chunk; body: the part of the text itself
+                    rows.append((r["uid"], None if k else r["row"], k, k == n - 1, MARK not in r["text"], a - low, b - low, text[low : b + reach], r["text"][max(0, a - 1) : b - 1]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["uid", "row", "no", "final", "plain", "a", "b", "window", "text"])
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(path, held.value)
         for batch in batches:
-            rows = [packed(pieces.transfer(r["text"], r["a"], r["b"], r["no"] == 0, r["final"])) for r in batch.to_pylist()]
+            rows = [packed(pieces.transfer(r["window"], r["a"], r["b"], r["no"] == 0, r["final"])) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.string())], names=["uid", "no", "matrix"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,39 +357,54 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, folder: str
         pieces = loaded(path, held.value)
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            for r in batch.select(["a", "b", "window", "plain", "e0", "e1", "x0", "x1"]).to_pylist():
                 enter, leave = (r["e0"], r["e1"]), (r["x0"], r["x1"])
-                ids = pieces.trace(r["text"], r["a"], r["b"], enter, leave)
-                ok = r["plain"] and pieces.raw_bytes(ids) == r["text"][r["a"] + enter[1] : r["b"] + leave[1]].encode()
+                ids = pieces.trace(r["window"], r["a"], r["b"], enter, leave)
+                ok = r["plain"] and pieces.raw_bytes(ids) == r["window"][r["a"] + enter[1] : r["b"] + leave[1]].encode()
                 rows.append((len(ids), signed(digest(ids)), ok, ids.tobytes() if with_ids else None))
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-            at = [batch.schema.get_field_index(c) for c in ("uid", key, "no")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), *cols], names=["uid", key, "no", "n_tokens", "ids_hash", "round_trip", "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("uid", "no", "row", "text")), *results(rows)], names=["uid", "no", *out_names])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in grouped(batches):
+        for kind, rows in grouped_typed(batches):
             n = h = 0
             for r in rows:
                 h = (h + r["ids_hash"] * pow(P, n, 1 << 64)) % (1 << 64)
                 n += r["n_tokens"]
-            row = (n, signed(h), all(r["round_trip"] for r in rows), b"".join(r["ids"] for r in rows) if with_ids else None)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0][key]], key_type), *(pa.array([x], t) for x, t in zip(row[: len(out)], types, strict=False))], names=names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            done = (n, signed(h), all(r["round_trip"] for r in rows), b"".join(r["ids"] for r in rows) if with_ids else None)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0]["row"]], kind), pa.array(["".join(r["text"] for r in rows)], pa.string()), *results([done])], names=out_names)
 
-    key_type = to_arrow_type(kind.dataType)
+    done = T.StructType([row, *ddl("text string"), *ddl(RESULTS)])
     long = F.char_length("text") > chunk
-    whole = docs.where(~F.coalesce(long, F.lit(False))).select(key, "text").mapInArrow(short, T.StructType([kind, *out]))
-    ddl = lambda cols: T.StructType.fromDDL(cols).fields
-    big = docs.where(long).select(F.monotonically_increasing_id().alias("uid"), key, "text")
+    whole = docs.where(~F.coalesce(long, F.lit(False))).mapInArrow(short, done)
+    big = docs.where(long).select(F.monotonically_increasing_id().alias("uid"), "row", "text")
     # a table, so that the numbers of texts and chunks are settled before they are joined
-    chunks = written(big.mapInArrow(cut, T.StructType([*ddl("uid long"), kind, *ddl("no long, final boolean, plain boolean, a long, b long, text string")])), "chunks")
+    chunks = written(big.mapInArrow(cut, T.StructType([*ddl("uid long"), row, *ddl("no long, final boolean, plain boolean, a long, b long, window string, text string")])), "chunks")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    matrices = chunks.repartition(n, "uid", "no").select("uid", "no", "text", "a", "b", "final").mapInArrow(transfers, "uid long, no long, matrix string")
+    matrices = chunks.select("uid", "no", "window", "a", "b", "final").repartition(n, "uid", "no").mapInArrow(transfers, "uid long, no long, matrix string")
     cuts = matrices.repartition(n, "uid").sortWithinPartitions("uid", "no").mapInArrow(meet, "uid long, no long, e0 long, e1 long, x0 long, x1 long")
-    traced = chunks.join(cuts, ["uid", "no"]).mapInArrow(trace, T.StructType([*ddl("uid long"), kind, *ddl("no long, n_tokens long, ids_hash long, round_trip boolean, ids binary")]))
-    parts = traced.repartition(n, "uid").sortWithinPartitions("uid", "no").mapInArrow(joined, T.StructType([kind, *out]))
-    return whole.unionByName(parts)
+    traced = chunks.join(cuts, ["uid", "no"]).mapInArrow(trace, T.StructType([*ddl("uid long, no long"), *done.fields]))
+    parts = traced.repartition(n, "uid").sortWithinPartitions("uid", "no").mapInArrow(joined, done)
+    cols = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in keep]
+    return whole.unionByName(parts).select(*cols, *(f.name for f in ddl(RESULTS) if with_ids or f.name != "ids"))
+
+
+def grouped_typed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.DataType, list[dict]]]:
+    """As grouped(), with the type of the column row."""
+    kind: list[pa.DataType] = []
+
+    def noted() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind[:] = [batch.schema.field("row").type]
+            yield batch
+
+    for rows in grouped(noted()):
+        yield kind[0], rows
+
+
+def with_encoding(docs: DataFrame, **options) -> DataFrame:
+    """docs with n_tokens, ids_hash, round_trip and ids; own columns of these names go."""
+    taken = {f.split()[0] for f in RESULTS.split(", ")}
+    return encode(docs, tuple(c for c in docs.columns if c.lower() not in taken), with_ids=True, **options)
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", model: str = MODEL, folder: str | None = None) -> DataFrame:

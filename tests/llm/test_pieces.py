@@ -69,3 +69,6 @@ def test_tables(spark, both):
     back = {r.doc_id: r.text for r in pc.decode(got).collect()}
     assert all(back[d] == t for d, t in rows if d not in marked)
     assert pc.encode(df.limit(0)).collect() == []
+    full = pc.with_encoding(df.withColumnRenamed("n_tokens", "no"), chunk=3000)
+    assert full.columns == ["doc_id", "text", "no", "n_tokens", "ids_hash", "round_trip", "ids"]
+    assert sorted(((r.doc_id, r.text, r.no) for r in full.collect()), key=str) == sorted(((d, t, 0) for d, t in rows), key=str)
