@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import events
+from . import documents, events, tables, vectors
 
 FLAGSHIP = "doc_repeat_clusters"
-MODULES = (events,)
+MODULES = (events, documents, vectors, tables)
 
 
 def queries() -> dict:
