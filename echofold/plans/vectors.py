@@ -102,7 +102,7 @@ def dct(spark, sf_dir):
     return rows.select("vec_id", *[F.round(F.col("c")[k] / n, 5).alias(f"c{k}") for k in range(8)])
 
 
-DCT = "WITH c AS (SELECT vec_id, " + ", ".join(f"list_sum(list_transform(list_zip(embedding, range({DIMS})), lambda p: p[1]::DOUBLE * cos(3.141592653589793 * (p[2] + 0.5) * {k} / {DIMS}))) AS k{k}" for k in range(8)) + "), n AS (SELECT *, sqrt(" + " + ".join(f"k{k} * k{k}" for k in range(8)) + ") AS n FROM c) SELECT vec_id, " + ", ".join(f"round(k{k} / n, 5) AS c{k}" for k in range(8)) + " FROM n"
+DCT = "WITH c AS (SELECT vec_id, " + ", ".join(f"list_sum(list_transform(list_zip(embedding, range({DIMS})), lambda p: p[1]::DOUBLE * cos(3.141592653589793 * (p[2] + 0.5) * {k} / {DIMS}))) AS k{k}" for k in range(8)) + " FROM embeddings), n AS (SELECT *, sqrt(" + " + ".join(f"k{k} * k{k}" for k in range(8)) + ") AS n FROM c) SELECT vec_id, " + ", ".join(f"round(k{k} / n, 5) AS c{k}" for k in range(8)) + " FROM n"
 
 
 QUERIES = {
