@@ -38,7 +38,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = 32_768
 WORDS_KEPT = 400_000
-PAIRS_KEPT = 1_000_000
+PAIRS_KEPT = 40_000
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 P = 0x9E3779B97F4A7C15 | 1
 State = tuple[int, int]  # characters of the piece before the cut, and after it; (0, 0): start or end of the text
@@ -60,11 +60,18 @@ class Pieces:
         self.score = {p.piece: p.score for p in model.pieces if p.type == 1}
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces with a space mark after another character are not supported")
+        self.packed = {p: np.int32(k).tobytes() for p, k in self.id.items()}
         self.longest = max(map(len, self.id))
         self.byte_id = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == 6}
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.encode() if p.type == 1 else b"" for p in model.pieces]
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.trie: dict = {}  # by characters; '' holds the piece that ends there
+        for p in self.id:
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
 
     def merged(self, text: str) -> list[str]:
         """Characters merged by best score, leftmost first, until no neighbours make a piece."""
@@ -83,52 +90,114 @@ class Pieces:
     def fits(self, a: str, b: str) -> bool:
         """Whether piece b may follow piece a ('' at the start)."""
         if a and b[0] == MARK and a[-1] != MARK:
-            return True
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > PAIRS_KEPT:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return got
+            a = ""
+        return self.merged(a + b) == ([a, b] if a else [b])
 
-    def paths(self, text: str, start: int, before: str, stop: int) -> list[int]:
-        """For each place up to stop, where the last piece of the path that ends there begins; -1: no path.
+    def path(self, text: str) -> list[str]:
+        """The one path of finite weight through a whole stretch, depth first, longer pieces first.
 
-        Paths begin at start, after the piece ``before``. Of the pieces that end at a place at most one has a
-        finite weight. Ends early, with a shorter list, when no path can go on.
+        The path to a place is unique, so a place from which the search has come back is never tried again.
         """
-        last = [-1] * (start + 1)
-        last[start] = start
-        pieces, fits, longest, alive = self.id, self.fits, self.longest, start
-        for p in range(start + 1, stop + 1):
-            found = -1
-            for i in range(max(start, p - longest), p):
-                if last[i] >= 0:
-                    piece = text[i:p]
-                    if (piece in pieces or p - i == 1) and fits(text[last[i] : i] if i > start else before, piece):
-                        found, alive = i, p
+        size, at, a = len(text), 0, ""
+        out: list[str] = []
+        left: list[list[str]] = []
+        dead: set[int] = set()
+        pairs, longest = self.pairs, self.longest
+        todo = None
+        while at < size:
+            if todo is None:
+                node, todo = self.trie, []
+                for c in text[at : at + longest]:
+                    node = node.get(c)
+                    if node is None:
                         break
-            last.append(found)
-            if p - alive >= longest:
-                break
-        return last
+                    if "" in node:
+                        todo.append(node[""])
+                if not todo or len(todo[0]) > 1:
+                    todo.insert(0, text[at])
+                known = pairs.get(a)
+                if known is None:
+                    if len(pairs) > PAIRS_KEPT:
+                        pairs.clear()
+                    known = pairs[a] = {}
+            while todo:
+                t = todo.pop()
+                if at + len(t) in dead:
+                    continue
+                ok = known.get(t)
+                if ok is None:
+                    ok = known[t] = self.fits(a, t)
+                if ok:
+                    out.append(t)
+                    left.append(todo)
+                    at, a, todo = at + len(t), t, None
+                    break
+            else:
+                dead.add(at)
+                at -= len(out.pop())
+                a, todo = out[-1] if out else "", left.pop()
+                known = pairs.setdefault(a, {})
+        return out
 
-    def ids(self, piece: str) -> list[int]:
-        k = self.id.get(piece)
-        return [k] if k is not None else [self.byte_id[b] for b in piece.encode()]
+    def paths(self, text: str, start: int, before: str, stop: int) -> tuple[list[int], list[str], int]:
+        """For each place from start to stop, counted from start, where the last piece of the path that ends there begins; -1: no path.
 
-    def traced(self, text: str, last: list[int], start: int, end: int) -> list[int]:
-        """Ids of the path from start that ends at end."""
-        cuts = [end]
-        while cuts[-1] > start:
-            cuts.append(last[cuts[-1]])
-        return [k for a, b in zip(cuts[:0:-1], cuts[-2::-1], strict=True) for k in self.ids(text[a:b])]
+        Paths begin at start, after the piece ``before``. Of the pieces that end at a place at most one fits the
+        path before it, so the first found stays. Also returns these last pieces and the furthest place reached.
+        """
+        size, far = stop - start, 0
+        last, piece = [-1] * (size + 1), [""] * (size + 1)
+        last[0], piece[0] = 0, before
+        trie, pairs = self.trie, self.pairs
+        for i in range(size):
+            if last[i] < 0:
+                if i > far:
+                    break
+                continue
+            a = piece[i]
+            known = pairs.get(a)
+            if known is None:
+                if len(pairs) > PAIRS_KEPT:
+                    pairs.clear()
+                known = pairs[a] = {}
+            node, j = trie, i
+            while j < size:
+                node = node.get(text[start + j])
+                if node is None:
+                    if j > i:
+                        break
+                    t, node = text[start + j], {}  # a character without a piece
+                else:
+                    t = node.get("")
+                j += 1
+                if t is not None and last[j] < 0:
+                    ok = known.get(t)
+                    if ok is None:
+                        ok = known[t] = self.fits(a, t)
+                    if ok:
+                        last[j], piece[j], far = i, t, max(far, j)
+                elif j == i + 1 and t is None and last[j] < 0 and self.fits(a, text[start + i]):
+                    last[j], piece[j], far = i, text[start + i], max(far, j)
+        return last, piece, far
+
+    def traced(self, found: tuple[list[int], list[str], int], end: int) -> bytes:
+        """Ids of the path that ends at end, as int32 bytes."""
+        last, piece, _ = found
+        out = []
+        while end > 0:
+            out.append(self.packed.get(piece[end]) or self.spelt(piece[end]))
+            end = last[end]
+        return b"".join(reversed(out))
+
+    def spelt(self, character: str) -> bytes:
+        """The byte pieces of a character without a piece."""
+        return np.array([self.byte_id[b] for b in character.encode()], np.int32).tobytes()
 
     def segment(self, text: str) -> bytes:
         """Ids of a stretch between cuts that no piece crosses, as int32 bytes."""
         got = self.known.get(text)
         if got is None:
-            got = np.array(self.traced(text, self.paths(text, 0, "", len(text)), 0, len(text)), np.int32).tobytes()
+            got = b"".join([self.packed.get(t) or self.spelt(t) for t in self.path(text)])
             if len(text) <= 48:
                 if len(self.known) > WORDS_KEPT:
                     self.known.clear()
@@ -157,50 +226,63 @@ class Pieces:
             out += [(cut - i, j - cut) for j in range(cut, min(len(text), i + self.longest) + 1) if j - i == 1 or text[i:j] in self.id]
         return out
 
-    def first_cut(self, text: str, at: int, end: int) -> int:
-        """The first place from at on, before end, where a word starts; -1 if there is none."""
-        k = text.find(MARK, max(at, 1), end)
-        while k > 0 and text[k - 1] == MARK:
-            k = text.find(MARK, k + 1, end)
-        return k
-
-    def exits(self, text: str, a: int, b: int, start: int, before: str, whole: bool) -> dict[State, int]:
+    def word_starts(self, text: str, low: int, high: int) -> tuple[int, int]:
+        """The first and the last place in [low, high) where a word starts; (-1, -1) if there is none."""
+        first = text.find(MARK, low, high)
+        while first > 0 and text[first - 1] == MARK:
+            first = text.find(MARK, first + 1, high)
+        last = text.rfind(MARK, low, high)
+        while last > 0 and text[last - 1] == MARK:
+            last = text.rfind(MARK, low, last)
+        return (first, last) if first > 0 and last > 0 else (-1, -1)
+
+    def exits(self, text: str, b: int, start: int, before: str, final: bool) -> dict[State, int]:
         """Weights to the states at b of the paths from start, after ``before``."""
-        if whole:  # the end of the text is the only exit
-            last = self.paths(text, start, before, b)
-            return {(0, 0): -self.count(last, start, b)} if len(last) > b and last[b] >= 0 else {}
-        reach = min(len(text), b + self.longest - 1)
-        last = self.paths(text, start, before, reach)
-        return {(b - last[j], j - b): -self.count(last, start, j) for j in range(b, len(last)) if 0 <= last[j] < b and j > start}
-
-    def count(self, last: list[int], start: int, end: int) -> int:
+        if final:  # the end of the text is the only exit
+            last, _, _ = self.paths(text, start, before, b)
+            return {(0, 0): -self.count(last, b - start)} if last[b - start] >= 0 else {}
+        last, _, far = self.paths(text, start, before, min(len(text), b + self.longest - 1))
+        return {(b - start - last[j], start + j - b): -self.count(last, j) for j in range(max(1, b - start), far + 1) if 0 <= last[j] < b - start}
+
+    def count(self, last: list[int], end: int) -> int:
         n = 0
-        while end > start:
+        while end > 0:
             end, n = last[end], n + 1
         return n
 
+    def inner(self, text: str, a: int, b: int, final: bool) -> tuple[int, int]:
+        """First and last word start of a chunk, clear of the pieces that cross its edges."""
+        return self.word_starts(text, a + self.longest, b if final else b - self.longest)
+
     def transfer(self, text: str, a: int, b: int, first: bool, final: bool) -> Matrix:
-        """From states at a to states at b. Where a word starts in between, all paths meet there once."""
+        """From states at a to states at b.
+
+        All paths meet at the start of a word; what lies between a chunk's first and last one adds the same
+        weight to all of them and is left out.
+        """
         out: Matrix = {}
-        cut = self.first_cut(text, a + self.longest, b - self.longest)
-        tail = self.exits(text, a, b, cut, text[cut - 1], final) if cut >= 0 else {}
+        cut, again = self.inner(text, a, b, final)
+        tail = self.exits(text, b, again, text[again - 1], final) if cut >= 0 else {}
         for s in [(0, 0)] if first else self.states(text, a):
             start, before = a + s[1], text[a - s[0] : a + s[1]]
             if cut < 0:
-                row = self.exits(text, a, b, start, before, final)
+                row = self.exits(text, b, start, before, final)
             else:
-                last = self.paths(text, start, before, cut)
-                alive = len(last) > cut and last[cut] >= 0
-                row = {x: w - self.count(last, start, cut) for x, w in tail.items()} if alive else {}
+                last, _, _ = self.paths(text, start, before, cut)
+                row = {x: w - self.count(last, cut - start) for x, w in tail.items()} if last[cut - start] >= 0 else {}
             if row:
                 out[s] = row
         return out
 
     def trace(self, text: str, a: int, b: int, enter: State, leave: State) -> np.ndarray:
         """Ids of a chunk's pieces: those after the entering one, up to the leaving one."""
-        start, end = a + enter[1], b + leave[1]
-        last = self.paths(text, start, text[a - enter[0] : start], end)
-        return np.array(self.traced(text, last, start, end), np.int32)
+        start, before, end = a + enter[1], text[a - enter[0] : a + enter[1]], b + leave[1]
+        cut, again = self.inner(text, a, b, leave == (0, 0))
+        if cut < 0:
+            return np.frombuffer(self.traced(self.paths(text, start, before, end), end - start), np.int32)
+        head = self.traced(self.paths(text, start, before, cut), cut - start)
+        tail = self.traced(self.paths(text, again, text[again - 1], end), end - again)
+        return np.frombuffer(head + b"".join(map(self.segment, SEGMENT.findall(text[cut:again]))) + tail, np.int32)
 
 
 def product(x: Matrix, y: Matrix) -> Matrix:
