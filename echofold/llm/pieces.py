@@ -37,7 +37,7 @@ from .common import tokenizer_path, utf8_values, written
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = 32_768
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 PAIRS_KEPT = 40_000
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 P = 0x9E3779B97F4A7C15 | 1
