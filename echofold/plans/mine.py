@@ -79,12 +79,13 @@ def mine(spark: SparkSession, inputs: DataFrame, options: Options | None = None)
 def mine_axis(spark: SparkSession, axis: Axis, options: Options, skipped: DataFrame | None = None) -> Mined:
     limits, excerpts = options.bounds(), options.bounds(0)
     found = written(find_matches(spark, axis, limits), "matches")
+    several = F.col("n") >= 2
     groups = written(boundaries.atomic_groups(found), "atomic")
-    groups = written(chains.chain(groups, 10, F.col("med") > 10), "chained")
+    groups = written(chains.chain(groups, 10, several & (F.col("med") > 10)), "chained")
     groups = written(refine.same_audio(spark, axis, groups, excerpts), "joined")
-    long = F.col("med") >= options.min_len
+    long = several & (F.col("med") >= options.min_len)
     groups = written(chains.chain(groups, 40, long), "chained")
-    groups = groups.join(chains.sizes(groups).where(long & (F.col("n") >= 2)).select("gid"), "gid", "left_semi")
+    groups = groups.join(chains.sizes(groups).where(long).select("gid"), "gid", "left_semi")
     groups = written(refine.aligned(axis, groups), "aligned")
     groups = written(refine.same_audio(spark, axis, groups, excerpts), "joined")
     groups = written(refine.checked(axis, groups, options.sim_high), "checked")
