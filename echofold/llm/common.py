@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import drop_tables, shared_dir, written  # noqa: F401  for the operators here
@@ -29,6 +29,13 @@ def utf8_values(column: pa.Array) -> list[bytes | None]:
     return column.to_pylist()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in Arrow batches of at most so many rows: a batch is held several times over on the way."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name beginning with base that df does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

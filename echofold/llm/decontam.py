@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, free_name, utf8_values
+from .common import byte_words, free_name, small_batches, utf8_values
 
 WINDOW = 13
 DEPTH = 16
 SHARD_WORDS = 2_000_000
+#: Texts of about so many bytes are scanned together, as one shard or a few.
+SCAN_BYTES = 8_000_000
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 22
 
@@ -265,6 +267,7 @@ def score(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: in
     whole item, if it is shorter); a document is contaminated if at least ``share`` of its words are hit.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     names = [key, *(c for c in keep or [] if c != key)]
     held = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, window, block_words)]
     text = free_name(docs.select(*names), "scan_text") if "text" not in names else "text"
@@ -273,28 +276,35 @@ def score(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = [b.value for b in held]
-        for batch in batches:
-            values = utf8_values(batch.column(batch.schema.get_field_index(text)))
+        held_batches: list[pa.RecordBatch] = []
+        size = 0
+
+        def judged() -> Iterator[pa.RecordBatch]:
+            texts = [byte_words(v) for b in held_batches for v in utf8_values(b.column(b.schema.get_field_index(text)))]
+            rows = scan(texts, indexes)
             at = 0
-            while at < len(values):
-                end, size = at, 0
-                while end < len(values) and size < 16_000_000:
-                    size += len(values[end] or b"") + 1
-                    end += 1
-                texts = [byte_words(v) for v in values[at:end]]
-                rows = scan(texts, indexes)
-                part = batch.slice(at, end - at)
-                n_words = [len(t) for t in texts]
-                ids = [sorted(i for i in s if i is not None) for _, s in rows]
+            for part in held_batches:
+                mine, n_words = rows[at : at + part.num_rows], [len(t) for t in texts[at : at + part.num_rows]]
+                ids = [sorted(i for i in s if i is not None) for _, s in mine]
                 cols = [part.column(part.schema.get_field_index(c)) for c in names] + [
                     pa.array(n_words, pa.int64()),
-                    pa.array([h for h, _ in rows], pa.int64()),
+                    pa.array([h for h, _ in mine], pa.int64()),
                     pa.array([len(i) for i in ids], pa.int64()),
                     pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids], pa.string()),
-                    pa.array([h > 0 and den * h >= num * n for (h, _), n in zip(rows, n_words, strict=True)], pa.bool_()),
+                    pa.array([h > 0 and den * h >= num * n for (h, _), n in zip(mine, n_words, strict=True)], pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *(f.split()[0] for f in SCORE_SCHEMA.split(", "))])
-                at = end
+                at += part.num_rows
+            held_batches.clear()
+
+        for batch in batches:
+            held_batches.append(batch)
+            size += batch.nbytes
+            if size >= SCAN_BYTES:
+                yield from judged()
+                size = 0
+        if held_batches:
+            yield from judged()
 
     from pyspark.sql import types as T
 
@@ -310,6 +320,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     leading words by which suffixes are chosen (three at most) are not reported.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     out = None
     for index in blocks(benchmark, window, block_words):
         held = spark.sparkContext.broadcast(index)

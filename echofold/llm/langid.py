@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import crc_mod, utf8_values
+from .common import crc_mod, small_batches, utf8_values
 
 SLOT_BITS = 18
 PER_LANG = 400
@@ -104,6 +104,7 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, se
 
 def train(docs: DataFrame, learn: Column | None = None, per_lang: int = PER_LANG) -> Kernel:
     """Learns from at most per_lang rows of each language, those with the smallest hashes of their ids."""
+    small_batches(docs.sparkSession)
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if learn is None else learn)).select("doc_id", "lang")
     ids = ids.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_lang).select("doc_id", "lang").distinct()
@@ -122,6 +123,7 @@ def train(docs: DataFrame, learn: Column | None = None, per_lang: int = PER_LANG
 
 def predict(docs: DataFrame, kernel: Kernel, key: str = "doc_id") -> DataFrame:
     """key, lang_pred, score."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(kernel)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

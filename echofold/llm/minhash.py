@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.relational import connected_components
-from .common import byte_words, drop_tables, free_name, splitmix, utf8_values, written
+from .common import byte_words, drop_tables, free_name, small_batches, splitmix, utf8_values, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -54,7 +54,7 @@ class Hashes(dict):
     """64-bit hashes of words, kept for the commonest; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -152,10 +152,11 @@ def sketches(docs: DataFrame, key: str) -> DataFrame:
                 done.update(zip(todo, (x.tobytes() for x in drawn), strict=True))
                 sig = [done.get(x) for x in nodes]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(nodes, pa.binary()), pa.array(sig, pa.binary())], names=[key, "node", "sig"])
-                if len(done) > 100_000:
+                if len(done) > 40_000:
                     done.clear()
                 at = end
 
+    small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[key], T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType())])
     return docs.select(key, "text").mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tokenizer_path, utf8_values, written
+from .common import small_batches, tokenizer_path, utf8_values, written
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -386,6 +386,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str = MO
     path = tokenizer_path(model, folder)
     with open(path, "rb") as f:
         held = spark.sparkContext.broadcast(f.read())
+    small_batches(spark)
     own = [c for c in keep if c != "text"]
     docs = docs.select(F.struct(*own, F.lit(0).alias("_")).alias("row"), "text")
     row = T.StructField("row", T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema["row"].dataType.fields]))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -423,6 +424,7 @@ FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
 
 def find(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, base counts, SHA-256 of the base spans, and all spans as kind:start:end in code points."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,6 +450,7 @@ def redacted(text: str, found: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data in ``text`` replaced; other columns stay, n_chars (if there) is counted anew. Null stays null."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(trained())
     names = docs.columns
     at = names.index("text")

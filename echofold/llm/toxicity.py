@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_words, crc_mod, free_name, utf8_values
+from .common import byte_words, crc_mod, free_name, small_batches, utf8_values
 
 HASH_BITS = 18
 #: Bytes of the beginnings of words that count as terms beside the words, so that inflected forms share a term.
@@ -155,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
     The sampled ids (at most ``sample``) are broadcast; terms are hashed by the executors before they are
     collected, at most 2 ** bits of a row.
     """
+    small_batches(docs.sparkSession)
     ids = sample_ids(labels.select("doc_id", "toxic"), F.lit(True) if learn is None else learn, sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
 
@@ -170,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
 
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
     """The columns in keep, then score (0 to 1) and predicted (1 if score >= 0.7)."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(machine)
     text = free_name(docs.select(*keep), "scan_text")
     source = docs.select(*keep, F.col("text").alias(text))

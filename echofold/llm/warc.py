@@ -31,6 +31,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MIN_REVISIT = 1000
 BLOCK_LINES = 2048
 FILE_BYTES = 512 << 20
@@ -134,6 +136,7 @@ def decisions(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
 def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the archives below folder and returns the manifest, a committed Parquet table."""
     spark = pages.sparkSession
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
