@@ -29,11 +29,12 @@ def utf8_values(column: pa.Array) -> list[bytes | None]:
     return column.to_pylist()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts go to Python in Arrow batches of at most so many rows: a batch is held several times over on the way."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Texts go to Python in Arrow batches of at most so many rows and bytes: a batch is held several times over on the way."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def free_name(df: DataFrame, base: str) -> str:
