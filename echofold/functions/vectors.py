@@ -34,14 +34,3 @@ def quantised(a: Column, scale: int = SCALE) -> Column:
 def distance(a: Column, q: Column, scale: int = SCALE) -> Column:
     """Euclidean distance of a vector and a quantised one."""
     return F.sqrt(total(F.zip_with(a, q, lambda x, y: F.pow(x.cast("double") - y / scale, F.lit(2)))))
-
-
-def signature(q: Column, table: Column, bits: int, dims: int) -> Column:
-    """Sign bits of a quantised vector against integer planes that a formula gives; 1 where the product is not negative."""
-
-    def bit(b: Column) -> Column:
-        plane = lambda i: F.pmod(i * 7 + b * 13 + table * 31 + i * b * 5 + i * i * (table + 1), F.lit(11)) - 5
-        s = F.aggregate(F.sequence(F.lit(0), F.lit(dims - 1)), F.lit(0), lambda acc, i: acc + F.element_at(q, i + 1) * plane(i))
-        return F.when(s >= 0, F.pow(F.lit(2), b).cast("int")).otherwise(0)
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0), lambda acc, b: acc + bit(b))

@@ -21,10 +21,13 @@ def tokens(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, key: str, text: str = "text", size: int = WINDOW, out: str = "doc") -> DataFrame:
-    """out, pos, h1, h2: each window of size consecutive tokens by 128 bits of hash, so that no text is shuffled."""
-    t = docs.select(F.col(key).alias(out), tokens(F.col(text)).alias("t")).where(F.size("t") >= size)
+    """out, pos, h1, h2: each window of size consecutive tokens by 128 bits of hash, so that no text is shuffled.
+
+    Tokens are hashed once; a window hashes its tokens' hashes.
+    """
+    t = docs.select(F.col(key).alias(out), F.transform(tokens(F.col(text)), lambda w: F.xxhash64(w)).alias("t")).where(F.size("t") >= size)
     at = t.select(out, "t", F.explode(F.sequence(F.lit(1), F.size("t") - (size - 1))).alias("p"))
-    words = F.array_join(F.slice("t", F.col("p"), size), " ")
+    words = F.slice("t", F.col("p"), size)
     return at.select(out, (F.col("p") - 1).cast("long").alias("pos"), F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words).alias("h2"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.storage import written
 from ..operators import passages as ps
 from ..operators import timeline
 from ..operators.relational import connected_components
@@ -76,7 +77,7 @@ SELECT doc, pos, count(*) AS n FROM v GROUP BY ALL"""
 
 
 def doc_spanning(spark, sf_dir):
-    m = matches(spark, sf_dir).where(F.col("len") >= LONG)
+    m = written(linked(spark, sf_dir), "matches")  # read by the votes and by the sides
     return timeline.spanning(ps.votes(m), ps.sides(m), ["doc"], "pos", "start", "end", 3).select("doc", "pos", "n", F.col("n_spanning").cast("long").alias("n_spanning"))
 
 
@@ -100,7 +101,7 @@ r(n, z) AS (SELECT DISTINCT a, a FROM g UNION SELECT r.n, g.b FROM r JOIN g ON g
 
 def repeat_clusters(spark, sf_dir):
     """Flagship: clusters of documents that share long passages, with the passages' number and lengths."""
-    m = linked(spark, sf_dir)
+    m = written(linked(spark, sf_dir), "matches")  # read by the components and by the sums
     c = connected_components(m.select("a", "b"))
     size = c.groupBy("component").agg(F.count(F.lit(1)).alias("n_docs"))
     sums = m.join(c, m["a"] == c["node"]).groupBy("component").agg(F.count(F.lit(1)).alias("n_matches"), F.sum("len").alias("total_len"), F.max("len").alias("max_len"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as vx
+from ..kernels.dsp import int8
 
 TABLES, BITS, DIMS, CAP = 8, 8, 64, 256
 
@@ -42,10 +47,26 @@ DISTANCES = f"""WITH q AS (SELECT vec_id - 1 AS vec_id, {Q} AS q FROM embeddings
 SELECT e.vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, q.q), lambda p: power(p[1]::DOUBLE - p[2] / 127, 2)))), 6) AS distance FROM embeddings e JOIN q ON q.vec_id = e.vec_id"""
 
 
+def planes() -> np.ndarray:
+    """Integer planes (tables, bits, dimensions) by a formula."""
+    t, b, i = np.ogrid[:TABLES, :BITS, :DIMS]
+    return (i * 7 + b * 13 + t * 31 + i * b * 5 + i * i * (t + 1)) % 11 - 5
+
+
 def hashes(spark, sf_dir) -> DataFrame:
-    q = vecs(spark, sf_dir).select("vec_id", vx.quantised(F.col("embedding")).alias("q"))
-    rows = q.select("vec_id", "q", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("tbl"))
-    return rows.select("vec_id", "tbl", vx.signature(F.col("q"), F.col("tbl"), BITS, DIMS).alias("hash"))
+    """vec_id, tbl, hash: sign bits of the quantised vectors against the planes, as one product a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = planes().reshape(-1, DIMS).T
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMS).astype(np.float64)
+            bits = (int8(x * vx.SCALE).astype(np.int64) @ p >= 0).reshape(-1, TABLES, BITS)
+            h = (bits * (1 << np.arange(BITS))).sum(2)
+            n = len(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(n), TABLES))), pa.array(np.tile(np.arange(TABLES, dtype=np.int32), n)), pa.array(h.reshape(-1).astype(np.int32))], names=["vec_id", "tbl", "hash"])
+
+    whole = vecs(spark, sf_dir).where(F.size("embedding") == DIMS)
+    return whole.mapInArrow(run, "vec_id long, tbl int, hash int")
 
 
 def signatures(spark, sf_dir):
