@@ -31,6 +31,7 @@ from .common import crc_mod, small_batches, utf8_values
 
 SLOT_BITS = 18
 PER_LANG = 400
+MAX_LANGS = 512
 LANDMARKS = 64
 RIDGE = 1e-3
 SHARPNESS = 4.0
@@ -103,11 +104,19 @@ def fit(rows: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, se
 
 
 def train(docs: DataFrame, learn: Column | None = None, per_lang: int = PER_LANG) -> Kernel:
-    """Learns from at most per_lang rows of each language, those with the smallest hashes of their ids."""
+    """Learns from at most per_lang rows of each language, those with the smallest hashes of their ids.
+
+    Of more than MAX_LANGS languages the commonest are learned. Counts come first, so that rows whose hash
+    cannot be among a language's smallest leave before rows of one language meet in one task.
+    """
     small_batches(docs.sparkSession)
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if learn is None else learn)).select("doc_id", "lang")
-    ids = ids.withColumn("n", F.row_number().over(by)).where(F.col("n") <= per_lang).select("doc_id", "lang").distinct()
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    place = F.xxhash64("doc_id")
+    low = (place.cast("double") / 2.0**64 + 0.5) * F.col("n") <= 3 * per_lang + 50
+    by = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ids = ids.join(F.broadcast(counts), "lang").where(low).select("doc_id", "lang").distinct()
+    ids = ids.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_lang).select("doc_id", "lang")
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
