@@ -160,3 +160,27 @@ def test_command_line():
     assert a.min_lag == 30 and a.tz == "UTC"
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["mine", "--in", "x", "--manifest", "m", "--out", "y"])
+
+
+def test_shared_tail_and_song(spark, tmp_path):
+    """Two spots that both end in one jingle, and a song that airs three times."""
+    places = [15, 75, 135, 195]
+    airs = [a for k, s in enumerate(places) for a in ((301 + k % 2, 15, s, 0), (310, 3, s + 15, 0))]
+    airs += [(320, 130, s, 0) for s in (260, 420, 580)]
+    synth.write(tmp_path, synth.broadcast(9, 720, airs), 12)
+    good, _ = audio.scan(spark, str(tmp_path))
+    mined = mine(spark, good, OPTIONS)
+    spot = {r.cluster_id: r.is_spot for r in mined.clusters.collect()}
+    got = found(mined)
+    assert any(agrees(v, [15, 135], 18) and spot[k] for k, v in got.items())
+    assert any(agrees(v, [75, 195], 18) and spot[k] for k, v in got.items())
+    assert any(agrees(v, [260, 420, 580], 130) and not spot[k] for k, v in got.items())
+    assert len(got) == 3
+
+
+def test_gain_and_trim(spark, tmp_path):
+    airs = [(401, 20, 20 + 55 * k, g) for k, g in enumerate((0, -18, 4, -12, -6, 2))]
+    synth.write(tmp_path, synth.broadcast(11, 360, airs), 10)
+    good, _ = audio.scan(spark, str(tmp_path))
+    got = found(mine(spark, good, OPTIONS))
+    assert len(got) == 1 and agrees(got[1], [20 + 55 * k for k in range(6)], 20, 1.0)
