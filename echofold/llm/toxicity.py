@@ -91,10 +91,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = HASH_BITS, rank: int
     slot = np.zeros(1 << bits, np.int64)
     if not len(y) or y.min() == y.max():
         return Machine(slot, np.zeros(1), np.zeros((1, rank)), 0.0, 1.0, 100.0, bits)
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    pos = np.bincount(flat, y[owner], 1 << bits)
-    neg = np.bincount(flat, 1 - y[owner], 1 << bits)
+    pos, neg = np.zeros(1 << bits), np.zeros(1 << bits)
+    for r, toxic in zip(rows, y, strict=True):
+        (pos if toxic else neg)[r] += 1  # a row's terms are distinct
     n1, n0 = y.sum(), len(y) - y.sum()
     # smoothed two-proportion test of presence in toxic against other texts
     p = (pos + neg + 1) / (n1 + n0 + 2)
@@ -164,9 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
             data = [terms(t, bits).tobytes() for t in utf8_values(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "toxic", "data"])
 
-    got = rows.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(hashed, "doc_id long, toxic int, data binary").collect()
-    got = sorted({(r.doc_id, r.toxic, bytes(r.data)) for r in got})
-    return fit([np.frombuffer(d, np.int32) for _, _, d in got], np.array([t > 0 for _, t, _ in got]), bits)
+    table = rows.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(hashed, "doc_id long, toxic int, data binary").toArrow()
+    held = {}  # equal rows count once; views of the table's buffers, not copies
+    for i, t, d in zip(table["doc_id"].to_pylist(), table["toxic"].to_pylist(), table["data"], strict=True):
+        data = d.as_buffer()
+        held[i, t, zlib.crc32(data)] = data
+    order = sorted(held)
+    return fit([np.frombuffer(held[k], np.int32) for k in order], np.array([t > 0 for _, t, _ in order]), bits)
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
