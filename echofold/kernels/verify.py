@@ -139,15 +139,16 @@ def near(axis: Axis, q: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
     return out
 
 
-def searched(axis: Axis, chunk: int, q: np.ndarray, b: np.ndarray, limits: Bounds) -> list[tuple[int, int, int, float]]:
-    """Matches of a chunk's candidates, in order of (q, b), each seed that the gate covers skipped."""
+def searched(axis: Axis, chunk: int, q: np.ndarray, b: np.ndarray, limits: Bounds) -> tuple[list[tuple[int, int, int, float]], int, int]:
+    """Matches of a chunk's candidates, in order of (q, b), each seed that the gate covers skipped; seeds and verifications."""
     ok = near(axis, q, b, limits.seed_distance)
     gate = Gate(chunk * CHUNK, CHUNK)
-    out = []
+    out, tried = [], 0
     for x, y in zip(q[ok].tolist(), b[ok].tolist(), strict=True):
         if not gate.covers(x, x - y):
+            tried += 1
             m = verified(axis, x, y, limits)
             if m:
                 gate.add(m[0], m[1], m[2])
                 out.append(m)
-    return out
+    return out, int(ok.sum()), tried

@@ -6,19 +6,23 @@ axis of excerpts. Tables are written to the shared folder after decoding, matchi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.storage import shared_dir, written
+from ..functions import storage
+from ..functions.storage import shared_dir
 from ..kernels.axis import Axis, Span
+from ..kernels.descriptor import WINDOW
 from ..kernels.dsp import FPS
 from ..operators import boundaries, chains, refine, timeline
 from ..operators.classify import ladder
+from ..operators.grouping import each
 from ..operators.relational import connected_components
-from ..operators.search import find_matches
+from ..operators.search import counters, find_matches
 from ..sources.audio import decoded
 from .options import NoInputs, Options
 
@@ -63,22 +67,42 @@ def lay(folder: str, rows: list) -> Axis:
     return Axis(folder, spans)
 
 
-def mine(spark: SparkSession, inputs: DataFrame, options: Options | None = None) -> Mined:
-    """inputs: (path, start). A file that cannot be read is skipped and reported; if none can, NoInputs is raised."""
+Progress = Callable[[str, int, int], None]
+STAGES = ("decode", "match", "cut", "chain", "join", "chain again", "align", "join again", "check", "extend", "join last", "classify")
+
+
+def mine(spark: SparkSession, inputs: DataFrame, options: Options | None = None, progress: Progress | None = None) -> Mined:
+    """inputs: (path, start). A file that cannot be read is skipped and reported; if none can, NoInputs is raised.
+
+    progress, if given, is called with a stage's name when it is done, the number of stages done, and of all.
+    """
     options = options or Options()
     folder = shared_dir(spark, "frames")
-    files = written(decoded(inputs, folder, options.timeout), "decoded")
+    files = storage.written(decoded(inputs, folder, options.timeout), "decoded")
     skipped = files.where("error is not null").select("path", F.col("error").alias("reason"))
     rows = [r.asDict() for r in files.where("error is null").toLocalIterator()]  # one row a file
     if not rows:
         raise NoInputs("no input could be read")
     axis = lay(folder, rows)
-    return mine_axis(spark, axis, options, skipped)
+    if progress:
+        progress("decode", 1, len(STAGES))
+    return mine_axis(spark, axis, options, skipped, progress)
 
 
-def mine_axis(spark: SparkSession, axis: Axis, options: Options, skipped: DataFrame | None = None) -> Mined:
-    limits, excerpts = options.bounds(), options.bounds(0)
-    found = written(find_matches(spark, axis, limits), "matches")
+def mine_axis(spark: SparkSession, axis: Axis, options: Options, skipped: DataFrame | None = None, progress: Progress | None = None) -> Mined:
+    """The run over an axis that is laid already."""
+    limits, excerpts, counts = options.bounds(), options.bounds(0), counters(spark)
+    done = 1
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        nonlocal done
+        out = storage.written(df, name)
+        if progress and done < len(STAGES):
+            progress(STAGES[done], done + 1, len(STAGES))
+        done += 1
+        return out
+
+    found = written(find_matches(spark, axis, limits, counts), "matches")
     several = F.col("n") >= 2
     groups = written(boundaries.atomic_groups(found), "atomic")
     groups = written(chains.chain(groups, 10, several & (F.col("med") > 10)), "chained")
@@ -91,10 +115,10 @@ def mine_axis(spark: SparkSession, axis: Axis, options: Options, skipped: DataFr
     groups = written(refine.checked(axis, groups, options.sim_high), "checked")
     groups = written(refine.extended(axis, groups, options.sim_high), "extended")
     groups = written(refine.same_audio(spark, axis, groups, excerpts), "joined")
-    occurrences = written(emitted(axis, groups), "occurrences")
+    occurrences = storage.written(emitted(axis, groups), "occurrences")
     clusters = written(classified(occurrences, options.zone), "clusters")
     skipped = skipped if skipped is not None else spark.createDataFrame([], "path string, reason string")
-    stats = {"files": len({s.path for s in axis.spans}), "audio_sec": axis.n / FPS, "frames": axis.n, "matches": found.count(), "clusters": clusters.count(), "skipped": skipped.count()}
+    stats = {"files": len({s.path for s in axis.spans}), "audio_sec": axis.n / FPS, "frames": axis.n, "windows": max(0, axis.n - WINDOW + 1), "seeds": counts["seeds"].value, "verified": counts["verified"].value, "matches": found.count(), "clusters": clusters.count(), "skipped": skipped.count()}
     return Mined(axis, found, clusters, occurrences, skipped, stats)
 
 
@@ -111,8 +135,6 @@ def emitted(axis: Axis, groups: DataFrame) -> DataFrame:
         length = (r["end"] - r["start"]) * 1_000_000 // FPS
         yield r["cluster_id"], r["med"] / FPS, start, start + length, s.path, (s.offset + r["start"] - s.first) / FPS, r["start"], r["end"]
 
-    from ..operators.grouping import each
-
     return each(rows, place, "cluster_id long, duration double, start_us long, end_us long, path string, offset_sec double, frame long, frame_end long")
 
 

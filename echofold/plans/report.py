@@ -70,7 +70,7 @@ def result(mined: Mined, cuts: dict[int, str] | None = None) -> dict:
         for c, airings in ordered(mined)
     ]
     skipped = [{"Path": r["path"], "Reason": r["reason"]} for r in mined.skipped.orderBy("path").toLocalIterator()]
-    stats = {"Files": mined.stats["files"], "AudioSec": mined.stats["audio_sec"], "Frames": mined.stats["frames"], "Matches": mined.stats["matches"]}
+    stats = {"Files": mined.stats["files"], "AudioSec": mined.stats["audio_sec"], "Frames": mined.stats["frames"], "Windows": mined.stats["windows"], "SeedPairs": mined.stats["seeds"], "VerifiedPairs": mined.stats["verified"], "Matches": mined.stats["matches"]}
     return {"Clusters": clusters, "Skipped": skipped, "Warnings": mined.stats.get("warnings", []), "Stats": stats}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from echofold import cli
 from echofold.operators.search import find_matches
 from echofold.plans import evaluate, report
-from echofold.plans.mine import mine
+from echofold.plans.mine import STAGES, mine
 from echofold.plans.options import NoInputs, Options
 from echofold.sources import audio, results
 from echofold.streaming import live
@@ -45,12 +45,16 @@ def folder(tmp_path_factory):
 def run(spark, folder):
     good, bad = audio.scan(spark, str(folder))
     assert [r.path.rsplit("/", 1)[-1] for r in bad.collect()] == ["unstamped.wav"]
-    return mine(spark, good, OPTIONS)
+    seen = []
+    out = mine(spark, good, OPTIONS, lambda *x: seen.append(x))
+    assert [s for s, *_ in seen] == list(STAGES) and seen[-1][1:] == (len(STAGES), len(STAGES))
+    return out
 
 
 def test_every_repeat_is_one_cluster(run):
     got = found(run)
     assert len(got) == 3 and run.stats["files"] == 2
+    assert run.stats["seeds"] >= run.stats["verified"] >= run.stats["matches"] > 0
     assert agrees(got[1], [30, 130, 260], 20) and agrees(got[2], [70, 200, 350], 12) and agrees(got[3], [300, 420], 30)
     assert [r.is_spot for r in run.clusters.orderBy("cluster_id").collect()] == [True] * 3
     assert [r.path.rsplit("/", 1)[-1] for r in run.skipped.collect()] == ["2026-09-01_09-00-00_bad.wav"]
