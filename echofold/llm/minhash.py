@@ -377,8 +377,8 @@ def classes(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD)
 def keep_one(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without near-duplicates: of each class one row, that of its smallest key. Rows with a null text stay."""
     _, nodes = node_classes(docs, key, threshold)
-    heads = with_ids(nodes).where("node = head").select(F.col("node").alias("_head"), F.col("least").alias("_least"))
-    node = free_name(docs, "node")
+    node, head, least = (free_name(docs, c) for c in ("node", "head", "least"))
+    heads = with_ids(nodes).where("node = head").select(F.col("node").alias(head), F.col("least").alias(least))
     names = docs.columns
     at = names.index("text")
 
@@ -388,5 +388,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*names, node])
 
     marked = docs.where("text is not null").mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(node, T.BinaryType())]))
-    kept = marked.join(heads, (F.col(node) == F.col("_head")) & F.col(key).eqNullSafe(F.col("_least")))
+    kept = marked.join(heads, (F.col(node) == F.col(head)) & F.col(key).eqNullSafe(F.col(least)))
     return kept.dropDuplicates([node, key]).select(*names).unionByName(docs.where("text is null"))

@@ -198,5 +198,7 @@ def held_out(docs: DataFrame, labels: DataFrame, mod: int = 3, fold: int = 1, sa
 
 
 def reject(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their own columns (which must not be score or predicted)."""
-    return score(docs, machine, docs.columns).where("predicted = 0").select(*docs.columns)
+    """The rows of docs that are not predicted toxic, with their own columns, whatever their names."""
+    moved = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in ("score", "predicted")}
+    kept = score(docs.withColumnsRenamed(moved), machine, [moved.get(c, c) for c in docs.columns]).where("predicted = 0")
+    return kept.select(*(F.col(moved.get(c, c)).alias(c) for c in docs.columns))

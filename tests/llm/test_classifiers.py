@@ -50,6 +50,13 @@ def test_toxicity_edges(spark):
     assert toxicity.held_out(docs.limit(0), labels).collect() == []
 
 
+def test_reject_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "bad bad", 5, "a"), (2, "fine", 6, "b"), (3, None, 7, "c")], "doc_id long, text string, Score int, predicted string")
+    rows = [toxicity.terms(t) for t in (b"bad", b"bad", b"bad", b"good", b"nice", b"fine")]
+    kept = toxicity.reject(docs, toxicity.fit(rows, np.array([1, 1, 1, 0, 0, 0])))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
 def test_folding_equals_the_kernel():
     texts = [b"der hund und die katze", b"the dog and the cat", "le chien été".encode(), b"a cat", b"die"] * 3
     langs = ["de", "en", "fr", "en", "de"] * 3
