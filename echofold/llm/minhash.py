@@ -46,6 +46,8 @@ BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 MARGIN = 0.125
 BLOCK = 1024
+#: A crowded bucket's rows meet its size in so many parts.
+SALTS = 8
 SLICE_BYTES = 4_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -277,9 +279,10 @@ def blocked(members: DataFrame) -> DataFrame:
     many = lambda test: F.ceil(F.sum(F.when(test, 1).otherwise(0)) / BLOCK).cast("int")
     left = F.col("side") == 0
     n = members.groupBy("bucket").agg(many(left).alias("nf"), many(~left).alias("ng")).where("nf > 0 and ng > 0")
+    n = n.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     part = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    rows = members.join(n, "bucket")
+    rows = members.withColumn("salt", F.pmod(F.xxhash64("node", "side"), F.lit(SALTS)).cast("int")).join(n, ["bucket", "salt"])
     zero = rows.where(left).withColumn("f", part("nf")).withColumn("g", every("ng"))
     one = rows.where(~left).withColumn("g", part("ng")).withColumn("f", every("nf"))
     cols = ["bucket", "band", "f", "g", "side", "node", "comp"]
