@@ -45,7 +45,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
 MARGIN = 0.125
-BLOCK = 1024
+BLOCK = 512
 #: A crowded bucket's rows meet its size in so many parts.
 SALTS = 8
 SLICE_BYTES = 4_000_000
