@@ -14,7 +14,8 @@ def range_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], ri
 
     Each side is repeated for the buckets that it touches, which makes the join an equi-join that shuffles
     and can be split; a pair is reported in the first bucket that both touch, so once. Choose the bucket
-    near the usual length. Columns of both sides must differ but for the keys. how: inner or left_semi.
+    near the usual length. Columns of both sides must differ but for the keys. how: inner or left_semi, which
+    gives distinct rows.
     """
     (a, b), (c, d) = left_span, right_span
     first = lambda s: F.floor(F.col(s) / bucket).cast("long")
