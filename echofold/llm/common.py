@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 
 import numpy as np
@@ -37,6 +38,21 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def released(run):
+    """run, a generator over Arrow batches, gives back what it has freed when its task ends: workers live on."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name beginning with base that df does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

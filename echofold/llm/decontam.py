@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, free_name, small_batches, utf8_values
+from .common import byte_words, free_name, released, small_batches, utf8_values
 
 WINDOW = 13
 DEPTH = 16
 SHARD_WORDS = 2_000_000
-#: Texts of about so many bytes are scanned together, as one shard or a few.
-SCAN_BYTES = 8_000_000
+#: Texts of about so many bytes are scanned together as a shard; more, if many windows are looked up in each.
+SCAN_BYTES = 2_000_000
+MOST_BYTES = 16_000_000
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 22
 
@@ -276,6 +277,7 @@ def score(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexes = [b.value for b in held]
+        enough = min(MOST_BYTES, max(SCAN_BYTES, *(64 * len(i.low) for i in indexes), 0))
         held_batches: list[pa.RecordBatch] = []
         size = 0
 
@@ -300,7 +302,7 @@ def score(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: in
         for batch in batches:
             held_batches.append(batch)
             size += batch.nbytes
-            if size >= SCAN_BYTES:
+            if size >= enough:
                 yield from judged()
                 size = 0
         if held_batches:
@@ -309,7 +311,7 @@ def score(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: in
     from pyspark.sql import types as T
 
     schema = T.StructType([f for f in source.schema.fields if f.name in names] + T.StructType.fromDDL(SCORE_SCHEMA).fields)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.relational import connected_components
-from .common import byte_words, drop_tables, free_name, small_batches, splitmix, utf8_values, written
+from .common import byte_words, drop_tables, free_name, released, small_batches, splitmix, utf8_values, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -48,7 +48,7 @@ MARGIN = 0.125
 BLOCK = 512
 #: A crowded bucket's rows meet its size in so many parts.
 SALTS = 8
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,7 +56,7 @@ class Hashes(dict):
     """64-bit hashes of words, kept for the commonest; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -154,13 +154,13 @@ def sketches(docs: DataFrame, key: str) -> DataFrame:
                 done.update(zip(todo, (x.tobytes() for x in drawn), strict=True))
                 sig = [done.get(x) for x in nodes]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(nodes, pa.binary()), pa.array(sig, pa.binary())], names=[key, "node", "sig"])
-                if len(done) > 40_000:
+                if len(done) > 20_000:
                     done.clear()
                 at = end
 
     small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[key], T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType())])
-    return docs.select(key, "text").mapInArrow(run, schema)
+    return docs.select(key, "text").mapInArrow(released(run), schema)
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def compare(rows: DataFrame, band: bool, exact: bool, threshold: float) -> DataF
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["bucket", "band", "f", "g"]
     dealt = rows.select(*keys, "side", "node", "comp", "sig", "text").repartition(n, "bucket", "f", "g").sortWithinPartitions(*keys, "side", "node")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(released(run), schema)
 
 
 def blocked(members: DataFrame) -> DataFrame:

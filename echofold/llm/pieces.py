@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, tokenizer_path, utf8_values, written
+from .common import released, small_batches, tokenizer_path, utf8_values, written
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -458,7 +458,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str = MO
 
     done = T.StructType([row, *ddl("text string"), *ddl(RESULTS)])
     long = F.char_length("text") > chunk
-    whole = docs.where(~F.coalesce(long, F.lit(False))).mapInArrow(short, done)
+    whole = docs.where(~F.coalesce(long, F.lit(False))).mapInArrow(released(short), done)
     big = docs.where(long).select(F.monotonically_increasing_id().alias("uid"), "row", "text")
     # a table, so that the numbers of texts and chunks are settled before they are joined
     chunks = written(big.mapInArrow(cut, T.StructType([*ddl("uid long"), row, *ddl("no long, final boolean, plain boolean, a long, b long, window string, text string")])), "chunks")

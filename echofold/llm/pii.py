@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import released, small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -462,7 +462,7 @@ def redact(docs: DataFrame) -> DataFrame:
             new = pa.array([t if t is None else redacted(t, f) for t, f in zip(texts, found, strict=True)], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(batch.columns)], names=names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(released(run), docs.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_words, crc_mod, free_name, small_batches, utf8_values
+from .common import byte_words, crc_mod, free_name, released, small_batches, utf8_values
 
 HASH_BITS = 18
 #: Bytes of the beginnings of words that count as terms beside the words, so that inflected forms share a term.
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
             data = [terms(t, bits).tobytes() for t in utf8_values(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "toxic", "data"])
 
-    table = rows.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(hashed, "doc_id long, toxic int, data binary").toArrow()
+    table = rows.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(released(hashed), "doc_id long, toxic int, data binary").toArrow()
     held = {}  # equal rows count once; views of the table's buffers, not copies
     for i, t, d in zip(table["doc_id"].to_pylist(), table["toxic"].to_pylist(), table["data"], strict=True):
         data = d.as_buffer()
@@ -187,7 +187,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "score", "predicted"])
 
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def held_out(docs: DataFrame, labels: DataFrame, mod: int = 3, fold: int = 1, sample: int = SAMPLE) -> DataFrame:
