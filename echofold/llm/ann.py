@@ -2,8 +2,8 @@
 
 The tree is fitted in numpy on at most ``sample`` distinct vectors (the smallest hashes) and broadcast; every
 row is then sent down it to a leaf. A query walks the tree through a priority queue, always opening the node
-whose centre is nearest, until it has visited W leaves. W is calibrated: it widens until, over the
-sample, the mean recall against brute force reaches the target. More leaves (about the square root of the
+whose centre is nearest, until it has visited W leaves and these hold k + 1 ids. W is calibrated: it widens
+until, over the sample, the mean recall against brute force reaches the target. More leaves (about the square root of the
 number of vectors) keep a leaf small as the data grows.
 
 Equal vectors are one entry with their k + 1 smallest ids, which is all that any query can need of them;
@@ -94,14 +94,18 @@ class Tree:
                 todo += [(kid, rows[owner == j]) for j, kid in enumerate(kids)]
         return out
 
-    def visits(self, q: np.ndarray, width: int) -> list[int]:
-        """Leaves in the order in which best-bin-first search visits them, the first ``width``."""
+    def visits(self, q: np.ndarray, width: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in the order in which best-bin-first search visits them, the first ``width``.
+
+        With ``held`` (ids of each leaf) the search goes on until the leaves hold ``least`` ids.
+        """
         near = self.centres @ q
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < width:
+        queue, out, n = [(0.0, 0)], [], 0
+        while queue and (len(out) < width or held is not None and n < least):
             _, node = heapq.heappop(queue)
             if node in self.leaf:
                 out.append(self.leaf[node])
+                n += 0 if held is None else held[self.leaf[node]]
             else:
                 for kid in self.children[node]:
                     heapq.heappush(queue, (-near[kid], kid))
@@ -193,7 +197,7 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", column: str = "
     def open_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                seen = [held.value.visits(q, width) for q in unit(matrix(batch.column(1).to_pylist()))]
+                seen = [held.value.visits(q, width, sizes, k + 1) for q in unit(matrix(batch.column(1).to_pylist()))]
                 at = pa.array(np.repeat(np.arange(len(seen)), [len(s) for s in seen]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen), pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["leaf", "qid", "v"])
 
@@ -202,7 +206,11 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", column: str = "
     # queries: all members, also those beyond the ids that their entry keeps
     asked = written(rows.where(queries & (F.col("dim") == dim)).select("id", "v").distinct(), "asked")
     numbered = written(asked.select("v").distinct().select(F.monotonically_increasing_id().alias("qid"), "v"), "queries")
-    blocks = homes.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    blocks = homes.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.sum(F.size("ids")).alias("n_ids"))
+    sizes = np.zeros(len(tree.leaf), np.int64)
+    for r in blocks.collect():  # a row a leaf
+        sizes[r.leaf] = r.n_ids
+    blocks = blocks.select("leaf", "n")
     dealt = homes.join(F.broadcast(blocks), "leaf").select("leaf", F.pmod(F.xxhash64("v"), F.col("n")).cast("int").alias("g"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("qid"), "v", "ids")
     sent = numbered.mapInArrow(open_leaves, "leaf int, qid long, v binary").join(F.broadcast(blocks), "leaf")
     sent = sent.select("leaf", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("g"), F.lit(0).alias("side"), "qid", "v", F.lit(None).cast("array<long>").alias("ids"))

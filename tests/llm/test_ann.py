@@ -71,3 +71,11 @@ def test_few_and_none(spark):
     assert [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(df, F.col("id") % 50 == 0).collect()] == [(0, 1, 1, round(0.5**0.5, 9))]
     assert ann.nearest(df.limit(0), F.col("id") % 50 == 0).collect() == []
     assert ann.nearest(df.limit(1), F.col("id") % 50 == 0).collect() == []
+
+
+def test_small_leaves_give_k_rows(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(40, 8))
+    data = [(k, (centre[k % 40] + 0.01 * rng.normal(size=8)).tolist(), 0) for k in range(120)]
+    got = ann.nearest(spark.createDataFrame(data, SCHEMA), F.col("id") % 10 == 0, target=0.3, leaves=40).collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(q, r) for q in range(0, 120, 10) for r in range(1, 6)]
