@@ -15,8 +15,8 @@ Texts with the same words are one node, however often they occur; all that follo
 3. The components of step 2's links over those of step 1 are the classes.
 
 Every comparison first estimates the similarity from signatures and, unless it lies MARGIN below the
-threshold (over three standard deviations), decides on the exact probability Jaccard similarity of the
-whole texts. No task holds a bucket, no pair is dropped for a bucket's size; leaders and outsiders travel
+threshold (under 80 of 125 registers: at exactly 0.8 with probability 0.00001), decides on the exact
+probability Jaccard similarity of the whole texts. No task holds a bucket, no pair is dropped for a bucket's size; leaders and outsiders travel
 to blocks of the others, texts only where an estimate calls for them.
 
 Defined results: texts of fewer than five words are one shingle. Word-less texts are alike if they are equal
@@ -44,7 +44,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 M = BANDS * ROWS
-MARGIN = 0.125
+MARGIN = 0.162
 BLOCK = 512
 #: A crowded bucket's rows meet its size in so many parts.
 SALTS = 8

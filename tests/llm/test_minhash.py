@@ -126,6 +126,14 @@ def test_blocks_lose_nothing(spark, monkeypatch, block):
     assert sorted(map(tuple, minhash.classes(df).collect()), key=str) == brute(rows)
 
 
+def test_margin_keeps_pairs_at_the_threshold(spark):
+    # similarity 0.8, signatures that agree in 83 of 125 registers
+    rows = [(2 * n + k, " ".join(f"s{s}w{j}" for j in range(9 - k))) for n, s in enumerate((3303, 6178)) for k in (0, 1)]
+    got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+    assert sorted(r[1] for r in got) == [0, 0, 2, 2]
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
