@@ -36,7 +36,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their encoding: n_tokens, ids (int32 as binary), ids_hash and round_trip.
 
-    Texts become what their ids decode to, which is the same text (space marks of their own aside).
+    Texts stay as they are; round_trip says whether the ids decode to the text.
     """
     return pieces.with_encoding(docs)
 
