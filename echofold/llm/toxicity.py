@@ -3,12 +3,23 @@
 A text's terms are the hash buckets of its distinct words and of their beginnings. The machine scores
 ``b + sum w_i + sum_{i<j} <v_i, v_j>`` over the terms that occur, so that a pair of terms can count for more
 than the two alone. It is fitted in numpy on at most ``sample`` labelled rows (the smallest hashes of their
-ids), over the terms that tell the classes apart in that sample and the commonest ones of toxic texts;
-scoring is one pass over the documents with the fitted tables broadcast (their size is a parameter's).
+ids), over all buckets:
+
+1. ``w`` by proximal Adam on the class-balanced logistic loss. The L1 penalty of a term grows with the
+   standard deviation of its presence, as a lasso on standardised columns has it; no term is left out.
+2. Interactions start where the loss still has a gradient: for two terms, the residual of the texts with both
+   is compared with that of the texts with either. Pairs that stand out by PAIR_Z standard errors get factors,
+   whatever the two terms tell by themselves. The terms looked at are the ``PAIR_TERMS`` that most toxic texts
+   of the sample have, a bound on the driver's memory.
+3. ``w`` and ``v`` are fitted together, ``v`` with an L2 penalty.
+
+Rounds are fixed numbers, whatever the number of rows. Scoring is one pass over the documents with the fitted
+tables broadcast (their size is a parameter's).
 
 Defined results: null, empty and word-less texts get the score of no terms. Rows with a null doc_id are
 never learned from and not held out. Repeated rows score alike; repeated labels count once, contradictory
-ones as toxic. Without labelled rows of both classes every score is 0 (to 13 digits). Extra columns are not read.
+ones as toxic; of several texts of one id the one whose terms sort first is learned from. Without labelled rows
+of both classes every score is 0 (to 13 digits). Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,11 +42,16 @@ BEGINNINGS = (4, 5, 6, 7)
 SAMPLE = 12_000
 RANK = 8
 THRESHOLD = 0.7
-MAX_TERMS = 4096
-COMMON_TERMS = 32
+PAIR_TERMS = 4096
+PAIR_Z = 5.0
+#: Texts that a pair must share with some weight before it stands out; also smooths a term's share of the texts.
+PAIR_LEAST = 8
+ROUNDS, PAIR_ROUNDS, RATE = 80, 60, 0.1
 #: Where in the gap between the classes of the sample the threshold lies, from the clean side.
 GAP_SHARE = 0.4
-L2_W, L2_V = 1e-3, 1e-1
+#: Penalties in standard errors of a term's or a pair's gradient.
+L1_W, L2_V = 0.35, 12.0
+SLICE = 1 << 20
 
 
 def terms(text: bytes | None, bits: int = HASH_BITS) -> np.ndarray:
@@ -85,52 +101,149 @@ def linear_and_pairs(w: np.ndarray, v: np.ndarray, flat: np.ndarray, n: np.ndarr
     return sums(w[flat], n) + 0.5 * ((s * s).sum(1) - sums((x * x).sum(1), n))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = HASH_BITS, rank: int = RANK, epochs: int = 60, seed: int = 7) -> Machine:
-    """Adam on the class-balanced logistic loss with L2 penalties, over the chosen terms."""
-    y = y.astype(np.float64)
-    slot = np.zeros(1 << bits, np.int64)
+class Adam:
+    """Proximal Adam steps of one array; penalty is an L1 weight per entry."""
+
+    def __init__(self, x: np.ndarray, penalty: np.ndarray | float = 0.0):
+        self.x, self.penalty, self.t = x, penalty, 0
+        self.m, self.u = np.zeros_like(x), np.zeros_like(x)
+
+    def step(self, grad: np.ndarray) -> None:
+        self.t += 1
+        self.m += 0.1 * (grad - self.m)
+        self.u += 0.01 * (grad * grad - self.u)
+        rate = RATE / (np.sqrt(self.u / (1 - 0.99**self.t)) + 1e-8)
+        x = self.x - rate * self.m / (1 - 0.9**self.t)
+        self.x[...] = np.sign(x) * np.maximum(np.abs(x) - rate * self.penalty, 0)
+
+
+class Texts:
+    """The terms of all texts, one after another, worked through in slices of about SLICE terms."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.size = np.array([len(r) for r in rows])
+        self.flat = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32, copy=False)
+        end = np.cumsum(self.size)
+        cut = np.unique(np.searchsorted(end, np.arange(SLICE, self.flat.size + SLICE, SLICE), "right"))
+        edges = np.unique(np.concatenate([[0], cut, [len(rows)]]))
+        self.parts = [(i, j, end[i] - self.size[i], end[j - 1]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        """The sum of w over each text's terms."""
+        return np.concatenate([sums(w[self.flat[a:b]], self.size[i:j]) for i, j, a, b in self.parts])
+
+    def by_term(self, g: np.ndarray, n: int) -> np.ndarray:
+        """The sum of g over each term's texts."""
+        out = np.zeros(n)
+        for i, j, a, b in self.parts:
+            out += np.bincount(self.flat[a:b], np.repeat(g[i:j], self.size[i:j]), n)
+        return out
+
+    def only(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, term) of every occurrence of a term that keep (a mask of terms) admits."""
+        text, term = [], []
+        for i, j, a, b in self.parts:
+            at = np.flatnonzero(keep[self.flat[a:b]])
+            text.append(np.repeat(np.arange(i, j, dtype=np.int32), self.size[i:j])[at])
+            term.append(self.flat[a:b][at])
+        return np.concatenate(text), np.concatenate(term)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def pairs(texts: Texts, y: np.ndarray, g: np.ndarray, bits: int, seed: int) -> list[tuple[float, int, int]]:
+    """(standard errors, term, term) of the pairs whose texts' residuals g differ from those of either term's texts.
+
+    Toxic texts are compared with at most twice as many others, drawn at random, which stand for all others.
+    """
+    n = 1 << bits
+    toxic, other = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
+    drawn = np.random.default_rng(seed).permutation(other)[: 2 * len(toxic)]
+    scale = np.zeros(len(y))
+    scale[toxic], scale[drawn] = 1, len(other) / len(drawn)
+    seen = texts.by_term(y, n)
+    term = np.argsort(-seen, kind="stable")[:PAIR_TERMS]
+    term = np.sort(term[seen[term] >= PAIR_LEAST])
+    rows = np.flatnonzero(scale)
+    place, column = np.zeros(len(y), np.int64), np.zeros(n, np.int64)
+    place[rows], column[term] = np.arange(len(rows)), np.arange(len(term))
+    mask = np.zeros(n, bool)
+    mask[term] = True
+    at, of = texts.only(mask)
+    live = scale[at] > 0
+    x = np.zeros((len(rows), len(term)), np.float32)
+    x[place[at[live]], column[of[live]]] = 1
+    first, second = ((g * scale)[rows].astype(np.float32), (g * g * scale * scale)[rows].astype(np.float32))
+    one, var = first @ x, np.maximum(second @ x, 1e-30)
+    floor = PAIR_LEAST * float(second.mean())
+    out = []
+    for k in range(0, len(term), 256):
+        a, s = x[:, k : k + 256], slice(k, k + 256)
+        both, weight = (a * first[:, None]).T @ x[:, k:], (a * second[:, None]).T @ x[:, k:]
+        z = None
+        for share, alone in ((weight / var[s, None], one[s, None]), (weight / var[None, k:], one[None, k:])):
+            t = (share * alone - both) / np.sqrt(weight * np.maximum(1 - share, 0) + floor)
+            z = t if z is None else np.where(z * t <= 0, 0, np.where(np.abs(z) < np.abs(t), z, t))
+        i, j = np.nonzero(np.triu(np.abs(z), 1) >= PAIR_Z)
+        out += [(float(z[p, q]), int(term[k + p]), int(term[k + q])) for p, q in zip(i, j, strict=True)]
+    return out
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = HASH_BITS, rank: int = RANK, seed: int = 7) -> Machine:
+    """The machine of all buckets, see above; buckets without weight and factors share its row of zeros."""
+    y, n = y.astype(np.float64), 1 << bits
+    slot = np.zeros(n, np.int32)
     if not len(y) or y.min() == y.max():
         return Machine(slot, np.zeros(1), np.zeros((1, rank)), 0.0, 1.0, 100.0, bits)
-    pos, neg = np.zeros(1 << bits), np.zeros(1 << bits)
-    for r, toxic in zip(rows, y, strict=True):
-        (pos if toxic else neg)[r] += 1  # a row's terms are distinct
+    texts = Texts(rows)
     n1, n0 = y.sum(), len(y) - y.sum()
-    # smoothed two-proportion test of presence in toxic against other texts
-    p = (pos + neg + 1) / (n1 + n0 + 2)
-    z = (pos / n1 - neg / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    strong = np.flatnonzero((np.abs(z) >= 4) & (pos + neg >= 3))
-    strong = strong[np.argsort(-np.abs(z[strong]), kind="stable")][:MAX_TERMS]
-    common = np.argsort(-pos, kind="stable")[:COMMON_TERMS]
-    chosen = np.unique(np.concatenate([strong, common[pos[common] > 0]]))
+    weight = np.where(y > 0, 0.5 / n1, 0.5 / n0)
+    share = (texts.by_term(np.ones(len(y)), n) + PAIR_LEAST) / (len(y) + 2 * PAIR_LEAST)
+    error = 0.25 * np.sqrt(1 / n1 + 1 / n0)  # of a gradient, per standard deviation of a term's presence
+    penalty = L1_W * error * np.sqrt(share * (1 - share))
+    w, b = Adam(np.zeros(n), penalty), Adam(np.zeros(1))
+    residual = lambda z: weight * (sigmoid(z) - y)
+    z = np.zeros(len(y))
+    for _ in range(ROUNDS):
+        g = residual(z)
+        w.step(texts.by_term(g, n))
+        b.step(np.array([g.sum()]))
+        z = texts.sums(w.x) + b.x[0]
+    found = pairs(texts, y, residual(z), bits, seed)
+    # from here on the terms that have weight or a pair
+    chosen = np.flatnonzero(w.x)
+    chosen = np.unique(np.concatenate([chosen, np.array([t for _, *p in found for t in p], np.int64)]))
     slot[chosen] = np.arange(1, len(chosen) + 1)
     rng = np.random.default_rng(seed)
-    w, v, b = np.zeros(len(chosen) + 1), rng.normal(0, 0.02, (len(chosen) + 1, rank)), np.zeros(1)
-    v[0] = 0
-    sample = [s[s > 0] for s in (slot[r] for r in rows)]
-    weight = np.where(y > 0, 0.5 / n1, 0.5 / n0) * len(y)
-    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, v, b)]
-    step, batch = 0, 256
-    for _ in range(max(1, min(epochs, 400_000 // len(y) + 8))):
-        order = rng.permutation(len(y))
-        for i in range(0, len(y), batch):
-            take = order[i : i + batch]
-            n = np.array([len(sample[k]) for k in take])
-            at = np.concatenate([sample[k] for k in take]).astype(np.int64)
-            logit = b[0] + linear_and_pairs(w, v, at, n)
-            g = weight[take] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[take]) / len(take)
-            each = np.repeat(g, n)
-            s = np.repeat(sums(v[at], n), n, axis=0)
-            gw, gv = np.zeros_like(w), np.zeros_like(v)
-            np.add.at(gw, at, each)
-            np.add.at(gv, at, each[:, None] * (s - v[at]))
-            grads = (gw + L2_W * w, gv + L2_V * v, np.array([g.sum()]))
-            step += 1
-            for x, d, (m, u) in zip((w, v, b), grads, state, strict=True):
-                m += 0.1 * (d - m)
-                u += 0.01 * (d * d - u)
-                x -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(u / (1 - 0.99**step)) + 1e-8)
-            w[0], v[0] = 0, 0
-    out = Machine(slot, w, v, float(b[0]), 1.0, 0.0, bits)
+    v = np.zeros((len(chosen) + 1, rank))
+    for z_pair, i, j in found:
+        u = rng.normal(size=rank)
+        u *= 0.5 / np.sqrt((u * u).sum())
+        v[slot[i]] += u
+        v[slot[j]] += np.sign(z_pair) * u
+    at, term = texts.only(slot > 0)
+    flat, count = slot[term], np.bincount(at, minlength=len(y))
+    factors = v.any(1)
+    w = Adam(np.append(0.0, w.x[chosen]), np.append(0.0, penalty[chosen]))
+    f, cost = Adam(v[factors]), (L2_V * error * np.append(0.0, share[chosen]))[factors, None]
+    row = np.cumsum(factors) - 1
+    has = factors[flat]
+    who, which = at[has], row[flat[has]]
+    for _ in range(PAIR_ROUNDS):
+        x = f.x[which]
+        s = np.stack([np.bincount(who, x[:, k], len(y)) for k in range(rank)], 1)
+        z = b.x[0] + sums(w.x[flat], count) + 0.5 * ((s * s).sum(1) - np.bincount(who, (x * x).sum(1), len(y)))
+        g = residual(z)
+        if len(f.x):
+            pull = g[who, None] * (s[who] - x)
+            f.step(np.stack([np.bincount(which, pull[:, k], len(f.x)) for k in range(rank)], 1) + cost * f.x)
+        w.step(np.bincount(flat, g[at], len(w.x)))
+        b.step(np.array([g.sum()]))
+    w.x[0] = 0
+    v[factors] = f.x
+    out = Machine(slot, w.x, v, float(b.x[0]), 1.0, 0.0, bits)
     z = out.logits(rows)
     # the threshold: in the gap of the cut with the best F1 in the sample
     order = np.argsort(-z, kind="stable")
@@ -151,8 +264,8 @@ def sample_ids(labels: DataFrame, learn: Column, n: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE, bits: int = HASH_BITS) -> Machine:
     """Fits a machine on the labelled rows of docs that ``learn`` (a predicate on doc_id) admits.
 
-    The sampled ids (at most ``sample``) are broadcast; terms are hashed by the executors before they are
-    collected, at most 2 ** bits of a row.
+    The sampled ids (at most ``sample``) are broadcast; terms are hashed by the executors and rows of one id
+    become one before they are collected: at most ``sample`` rows, 2 ** bits terms of a row.
     """
     small_batches(docs.sparkSession)
     ids = sample_ids(labels.select("doc_id", "toxic"), F.lit(True) if learn is None else learn, sample)
@@ -163,13 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
             data = [terms(t, bits).tobytes() for t in utf8_values(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "toxic", "data"])
 
-    table = rows.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(released(hashed), "doc_id long, toxic int, data binary").toArrow()
-    held = {}  # equal rows count once; views of the table's buffers, not copies
-    for i, t, d in zip(table["doc_id"].to_pylist(), table["toxic"].to_pylist(), table["data"], strict=True):
-        data = d.as_buffer()
-        held[i, t, zlib.crc32(data)] = data
-    order = sorted(held)
-    return fit([np.frombuffer(held[k], np.int32) for k in order], np.array([t > 0 for _, t, _ in order]), bits)
+    terms_of = rows.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(released(hashed), "doc_id long, toxic int, data binary")
+    # one row a sampled id, however often it repeats and whatever its texts
+    table = terms_of.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("data").alias("data")).toArrow().sort_by("doc_id")
+    return fit([np.frombuffer(d.as_buffer(), np.int32) for d in table["data"]], np.array(table["toxic"].to_pylist(), np.int64) > 0, bits)
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
