@@ -1,27 +1,35 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
 Each task lays the words of its documents on one axis (a *shard*), sorts the suffixes that could begin a
-test passage into a suffix array, and binary-searches every test window and every test suffix in it.
-Only the test side is broadcast, in blocks of at most ``block_words`` words; a benchmark of any size is
-worked through block by block within one pass over the documents, without a shuffle.
+test passage into a suffix array, and binary-searches every test suffix in it, which gives its longest verbatim
+match. Test suffixes whose match reaches their window are looked up again as a range, which gives every place of
+the window; places on one diagonal join to the passages that a document shares with an item.
 
-Defined results: null, empty and word-less texts have no words and no hits. Equal rows give equal rows.
-A null item_id makes words count as hit but is not listed among the items. Items without words are
+The test side is cut into blocks of about ``block_words`` words. Executors index the blocks and write them to the
+shared folder; a task holds one block at a time, so its memory does not grow with the benchmark. Each shard of
+documents meets all blocks, within one pass over the documents and without a shuffle of them.
+
+Defined results: null, empty and word-less texts have no words, no hits and a longest match of 0. Equal rows give
+equal rows. A null item_id makes words count as hit but is not listed among the items. Items without words are
 ignored. Extra columns of either table are not read by ``score``; ``remove`` keeps those of the documents.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import byte_words, free_name, released, small_batches, utf8_values
+from .common import byte_words, free_name, released, shared_dir, small_batches, utf8_values
 
 WINDOW = 13
 DEPTH = 16
@@ -31,6 +39,8 @@ SCAN_BYTES = 2_000_000
 MOST_BYTES = 16_000_000
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 22
+#: Shorter verbatim matches are not reported.
+LEAST_MATCH = 3
 
 
 class TestIndex:
@@ -54,29 +64,28 @@ class TestIndex:
         self.n_keys = -(-self.depth // self.per_key)
         axis = np.concatenate([np.concatenate([t, np.zeros(1, np.int64)]) for t in texts] or [np.zeros(1, np.int64)])
         start = np.cumsum([0, *[len(t) + 1 for t in texts]])
-        pos, length, owner = [], [], []
+        pos, length = [], []
         for k, t in enumerate(texts):
             if len(t):
                 n = max(1, len(t) - window + 1)
                 pos.append(start[k] + np.arange(n))
                 length.append(np.full(n, min(window, len(t))))
-                owner.append(np.full(n, k))
-        pos, length, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pos, length, owner))
+        pos, length = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pos, length))
         self.min_len = int(length.min()) if len(length) else 0
         low = self.pack(axis, pos, length, 0)
         order = np.lexsort((length, *low.T[::-1]))
-        low, pos, length, owner = low[order], pos[order], length[order], owner[order]
+        low, pos, length = low[order], pos[order], length[order]
         new = np.ones(len(low), bool)
         if len(low) > 1:
             new[1:] = (low[1:] != low[:-1]).any(1) | (length[1:] != length[:-1])
         group = np.cumsum(new) - 1
         self.low, self.length = low[new], length[new]
         self.high = self.pack(axis, pos[new], length[new], (1 << self.bits) - 1)
+        # a window's owners are the test suffixes that begin with it, by number
         self.owner_start = np.flatnonzero(new)
         self.owner_end = np.append(self.owner_start[1:], len(group))
-        self.owner = owner
-        # every suffix of every item, for the longest verbatim matches
         suffix = np.flatnonzero(axis)
+        self.owner = np.searchsorted(suffix, pos)
         self.axis, self.suffix = axis, suffix
         self.suffix_item = np.searchsorted(start, suffix, "right") - 1
         self.suffix_at = suffix - start[self.suffix_item]
@@ -143,52 +152,61 @@ class SuffixArray:
         return lo
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(window number, position) of every occurrence of a test window."""
-        if not len(self.pos) or not len(self.index.low):
+        """(window number, position) of every occurrence of a test window.
+
+        A window occurs if the longest match of a test suffix that begins with it is as long as the window.
+        """
+        index = self.index
+        if not len(self.pos) or not len(index.low):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        size, _ = self.longest(index.depth)
+        live = np.flatnonzero(size[index.owner[index.owner_start]] >= index.length)
         # no word has the id that pads high, so its rank is the end of the range
-        lo, hi = self.rank(self.index.low), self.rank(self.index.high)
+        lo, hi = self.rank(index.low[live]), self.rank(index.high[live])
         n = hi - lo
-        window = np.repeat(np.arange(len(n)), n)
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return window, self.pos[at]
+        return np.repeat(live, n), self.pos[at]
 
-    def longest(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each test suffix, the length of its longest verbatim match and where it starts (-1: none)."""
+    def longest(self, enough: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each test suffix, the length of its longest verbatim match and where it starts (-1: none).
+
+        Matches of at least ``enough`` words (at most the keys' depth) are not followed further.
+        """
         q, n = self.index.suffix, len(self.index.suffix)
         best, where = np.zeros(n, np.int64), np.full(n, -1, np.int64)
         if not len(self.pos) or not n:
             return best, where
         r = self.rank(self.index.suffix_low)
-        mine = self.index.axis
+        # the longest match is that of the suffix before or after the place in the order
         for side in (-1, 0):
             at = r + side
             ok = (at >= 0) & (at < len(self.pos))
             p = self.pos[np.clip(at, 0, len(self.pos) - 1)]
-            size = self.common(mine, q, p, ok)
+            size = self.common(q, p, ok, enough)
             better = ok & (size > best)
             best, where = np.where(better, size, best), np.where(better, p, where)
-        # where more than DEPTH words agree, several neighbours are tied up to there: look at each
+        if enough is not None:
+            return best, where
+        # where more words agree than keys hold, several neighbours are tied up to there: look at each, distinct suffixes once
         deep = np.flatnonzero(best >= self.index.depth)
         if len(deep):
             low = self.index.suffix_low[deep]
-            a = self.rank(low)
             up = low.copy()
             up[:, -1] += 1
-            b = self.rank(up)
-            for k, i, j in zip(deep, a, b, strict=True):
+            for k, i, j in zip(deep, self.rank(low), self.rank(up), strict=True):
                 p = self.pos[i:j]
-                size = self.common(mine, np.full(len(p), q[k]), p, np.ones(len(p), bool))
+                size = self.common(np.full(len(p), q[k]), p, np.ones(len(p), bool))
                 if len(size) and size.max() > best[k]:
                     best[k], where[k] = size.max(), p[size.argmax()]
         return best, where
 
-    def common(self, mine: np.ndarray, q: np.ndarray, p: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Words that agree from q on the test axis and p on the shard's."""
+    def common(self, q: np.ndarray, p: np.ndarray, live: np.ndarray, enough: int | None = None) -> np.ndarray:
+        """Words that agree from q on the test axis and p on the shard's, counted up to enough."""
+        mine = self.index.axis
         size = np.zeros(len(q), np.int64)
         at = np.flatnonzero(live)
         d = 0
-        while len(at):
+        while len(at) and d != enough:
             a, b = q[at] + d, p[at] + d
             at = at[(a < len(mine)) & (b < len(self.axis))]
             a, b = mine[q[at] + d], self.axis[p[at] + d]
@@ -220,80 +238,138 @@ def covered(n_axis: int, pos: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def scan(texts: list[list[bytes]], indexes: list[TestIndex]) -> list[tuple[int, set]]:
-    """(hit words, ids of the items that occur) of each text, over all blocks of the benchmark."""
-    masks: list[np.ndarray | None] = [None] * len(texts)
-    found: list[set] = [set() for _ in texts]
+class Found:
+    """What is known of one text: hit words (a mask, None without any), items, longest match and its first word."""
+
+    __slots__ = ("hit", "items", "longest", "at")
+
+    def __init__(self):
+        self.hit, self.items, self.longest, self.at = None, set(), 0, -1
+
+
+def scan(texts: list[list[bytes]], indexes: Iterable[TestIndex]) -> list[Found]:
+    """What each text shares with the benchmark, whose blocks are taken one after another."""
+    out = [Found() for _ in texts]
     for index in indexes:
-        for first, last, axis, starts in shards(texts, index.vocab.get):
+        for first, _, axis, starts in shards(texts, index.vocab.get):
             window, pos = SuffixArray(axis, index).windows()
             if not len(pos):
                 continue
             hit = covered(len(axis), pos, index.length[window])
-            doc = np.searchsorted(starts, pos, "right") - 1
+            for d in np.unique(np.searchsorted(starts, pos, "right") - 1):
+                mask, f = hit[starts[d] : starts[d + 1] - 1], out[first + int(d)]
+                f.hit = mask if f.hit is None else f.hit | mask
+            # each occurrence with each test suffix that begins with its window
             n = index.owner_end[window] - index.owner_start[window]
             at = np.repeat(index.owner_start[window] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            for d, o in zip(*np.divmod(np.unique(np.repeat(doc, n) * len(index.items) + index.owner[at]), len(index.items)), strict=True):
-                found[first + d].add(index.items[o])
-            for d in np.unique(doc):
-                m = hit[starts[d] : starts[d + 1] - 1]
-                k = first + int(d)
-                masks[k] = m if masks[k] is None else masks[k] | m
-    return [(0 if m is None else int(m.sum()), s) for m, s in zip(masks, found, strict=True)]
-
-
-def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[TestIndex]:
-    """The benchmark as indexes of at most block_words words each (one item may exceed that)."""
-    held, n = [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        ws = byte_words(text.encode("utf-8", "replace")) if text is not None else []
-        if not ws:
-            continue
-        held.append((item, ws))
-        n += len(ws)
-        if n >= block_words:
-            yield TestIndex(held, window)
-            held, n = [], 0
-    if held:
-        yield TestIndex(held, window)
-
-
-SCORE_SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+            pos, length, suffix = np.repeat(pos, n), np.repeat(index.length[window], n), index.owner[at]
+            doc = np.searchsorted(starts, pos, "right") - 1
+            for d, o in zip(*np.divmod(np.unique(doc * len(index.items) + index.suffix_item[suffix]), len(index.items)), strict=True):
+                out[first + int(d)].items.add(index.items[o])
+            # consecutive windows of one item on one diagonal are one match
+            order = np.lexsort((pos, pos - index.suffix[suffix], index.suffix_item[suffix], doc))
+            pos, length, doc, suffix = pos[order], length[order], doc[order], suffix[order]
+            same = (np.diff(doc) == 0) & (np.diff(index.suffix_item[suffix]) == 0) & (np.diff(pos) == 1) & (np.diff(suffix) == 1)
+            begin = np.flatnonzero(np.concatenate([[True], ~same]))
+            end = np.append(begin[1:], len(pos)) - 1
+            size = pos[end] + length[end] - pos[begin]
+            for d, s, p in zip(doc[begin].tolist(), size.tolist(), (pos[begin] - starts[doc[begin]]).tolist(), strict=True):
+                f = out[first + d]
+                if (s, -p) > (f.longest, -f.at if f.longest else 0):
+                    f.longest, f.at = s, p
+    return out
+
+
+def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[str]:
+    """Writes the benchmark as indexes of about block_words words each to the shared folder; returns their paths.
+
+    Items are dealt by hash, so one item may exceed a block. Tasks write under names of their own, and only the
+    names that a finished task returns count.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // (6 * block_words)))  # six bytes a word, with its space
+    folder = shared_dir(spark, "benchmark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        now, held = None, []
+
+        def path() -> pa.RecordBatch:
+            data = pickle.dumps(TestIndex(held, window), 5)
+            name = f"{now}-{hashlib.sha256(data).hexdigest()}"
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+                f.write(data)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"], pa.string())], names=["path"])
+
+        for batch in batches:
+            for block, item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_values(batch.column(2)), strict=True):
+                if block != now and held:
+                    yield path()
+                now = block
+                words = byte_words(text)
+                if words:
+                    held.append((item, words))
+        if held:
+            yield path()
+
+    dealt = items.select(F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int").alias("block"), "item", "text")
+    dealt = dealt.repartition(min(n, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block").sortWithinPartitions("block", "item", "text")
+    return sorted(r.path for r in dealt.mapInArrow(run, "path string").collect())  # one row a block
+
+
+@lru_cache(maxsize=1)
+def block(path: str) -> TestIndex:
+    """A block as written; a worker keeps the one it read last."""
+    fs, name = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(name) as f:
+        return pickle.loads(f.read())
+
+
+SCORE_SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, match_at long"
 
 
 def score(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, share: float = 0.05, block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
-    """Per row of docs: key (and the columns in keep), n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per row of docs: key (and the columns in keep), n_words, n_hit, n_items, items_sha256, contaminated, longest_match, match_at.
 
     A word is hit if it lies in an occurrence of a window of ``window`` consecutive words of an item (of the
     whole item, if it is shorter); a document is contaminated if at least ``share`` of its words are hit.
+    longest_match is the length in words of the longest passage that the document shares with an item, if it holds a
+    window, else 0; match_at is the document's word where the first of them starts, else -1.
     """
     spark = docs.sparkSession
     small_batches(spark)
     names = [key, *(c for c in keep or [] if c != key)]
-    held = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, window, block_words)]
+    paths = blocks(benchmark, window, block_words)
     text = free_name(docs.select(*names), "scan_text") if "text" not in names else "text"
     source = docs.select(*names) if "text" in names else docs.select(*names, F.col("text").alias(text))
     num, den = share.as_integer_ratio() if share != 0.05 else (1, 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [b.value for b in held]
-        enough = min(MOST_BYTES, max(SCAN_BYTES, *(64 * len(i.low) for i in indexes), 0))
+        # a block is read for each shard if there are several, so shards are as large as allowed then
+        enough = MOST_BYTES if len(paths) > 1 else min(MOST_BYTES, max(SCAN_BYTES, *(64 * len(block(p).low) for p in paths), 0))
         held_batches: list[pa.RecordBatch] = []
         size = 0
 
         def judged() -> Iterator[pa.RecordBatch]:
             texts = [byte_words(v) for b in held_batches for v in utf8_values(b.column(b.schema.get_field_index(text)))]
-            rows = scan(texts, indexes)
+            rows = scan(texts, map(block, paths))
             at = 0
             for part in held_batches:
                 mine, n_words = rows[at : at + part.num_rows], [len(t) for t in texts[at : at + part.num_rows]]
-                ids = [sorted(i for i in s if i is not None) for _, s in mine]
+                ids = [sorted(i for i in f.items if i is not None) for f in mine]
+                hits = [0 if f.hit is None else int(f.hit.sum()) for f in mine]
                 cols = [part.column(part.schema.get_field_index(c)) for c in names] + [
                     pa.array(n_words, pa.int64()),
-                    pa.array([h for h, _ in mine], pa.int64()),
+                    pa.array(hits, pa.int64()),
                     pa.array([len(i) for i in ids], pa.int64()),
                     pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids], pa.string()),
-                    pa.array([h > 0 and den * h >= num * n for (h, _), n in zip(mine, n_words, strict=True)], pa.bool_()),
+                    pa.array([h > 0 and den * h >= num * n for h, n in zip(hits, n_words, strict=True)], pa.bool_()),
+                    pa.array([f.longest for f in mine], pa.int64()),
+                    pa.array([f.at for f in mine], pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *(f.split()[0] for f in SCORE_SCHEMA.split(", "))])
                 at += part.num_rows
@@ -308,8 +384,6 @@ def score(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: in
         if held_batches:
             yield from judged()
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([f for f in source.schema.fields if f.name in names] + T.StructType.fromDDL(SCORE_SCHEMA).fields)
     return source.mapInArrow(released(run), schema)
 
@@ -318,41 +392,33 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     """For each suffix of each test item its longest verbatim match in the documents and one place of it.
 
     Columns item_id, item_word, n_words, <key>, doc_word. Shards report their best per suffix; the best of
-    all shards (ties: smallest key, then place) is taken by a partial aggregation. Matches shorter than the
-    leading words by which suffixes are chosen (three at most) are not reported.
+    all shards (ties: smallest key, then place) is taken by a partial aggregation. Matches of fewer than
+    LEAST_MATCH words are not reported, whatever the blocks hold.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    out = None
-    for index in blocks(benchmark, window, block_words):
-        held = spark.sparkContext.broadcast(index)
-
-        def run(batches, held=held):
-            index = held.value
-            for batch in batches:
-                keys = batch.column(0)
-                texts = [byte_words(v) for v in utf8_values(batch.column(1))]
+    schema = T.StructType([*T.StructType.fromDDL("item_id string, item_word long, n_words long").fields, T.StructField(key, docs.schema[key].dataType), T.StructField("doc_word", T.LongType())])
+    paths = blocks(benchmark, window, block_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            texts = [byte_words(v) for v in utf8_values(batch.column(1))]
+            for index in map(block, paths):
                 for first, _, axis, starts in shards(texts, index.vocab.get):
                     size, where = SuffixArray(axis, index).longest()
-                    s = np.flatnonzero(size)
+                    s = np.flatnonzero(size >= LEAST_MATCH)
                     doc = np.searchsorted(starts, where[s], "right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([index.items[i] for i in index.suffix_item[s]], pa.string()),
-                            pa.array(index.suffix_at[s]),
-                            pa.array(size[s]),
-                            keys.take(pa.array(first + doc)),
-                            pa.array(where[s] - starts[doc]),
-                        ],
-                        names=["item_id", "item_word", "n_words", key, "doc_word"],
-                    )
-
-        kind = docs.schema[key].dataType.simpleString()
-        part = docs.select(key, "text").mapInArrow(run, f"item_id string, item_word long, n_words long, `{key}` {kind}, doc_word long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        kind = docs.schema[key].dataType.simpleString()
-        return spark.createDataFrame([], f"item_id string, item_word long, n_words long, `{key}` {kind}, doc_word long")
+                    cols = [
+                        pa.array([index.items[i] for i in index.suffix_item[s]], pa.string()),
+                        pa.array(index.suffix_at[s]),
+                        pa.array(size[s]),
+                        keys.take(pa.array(first + doc)),
+                        pa.array(where[s] - starts[doc]),
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    out = docs.select(key, "text").mapInArrow(released(run), schema)
     best = out.groupBy("item_id", "item_word").agg(F.min(F.struct((-F.col("n_words")).alias("n"), F.col(key), "doc_word")).alias("m"))
     return best.select("item_id", "item_word", (-F.col("m.n")).alias("n_words"), F.col(f"m.{key}").alias(key), F.col("m.doc_word").alias("doc_word"))
 

@@ -19,6 +19,31 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT row_number() OVER () AS k, CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+v AS (SELECT k, item, least(len(w), 13) AS n, unnest(range(greatest(len(w) - 12, 1))) AS q, w FROM b WHERE len(w) > 0),
+v2 AS (SELECT k, item, n, q, array_to_string(w[q + 1 : q + n], ' ') AS s FROM v),
+u AS (SELECT r, n, unnest(range(len(w) - n + 1)) AS p, w FROM d, (SELECT DISTINCT n FROM v) WHERE len(w) >= n),
+u2 AS (SELECT r, n, p, array_to_string(w[p + 1 : p + n], ' ') AS s FROM u),
+m AS (SELECT r, k, item, v2.n, p, q FROM u2 JOIN v2 ON u2.n = v2.n AND u2.s = v2.s),
+h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS x FROM (SELECT DISTINCT r, p, n FROM m)) GROUP BY r),
+i AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM m GROUP BY r),
+g AS (SELECT r, k, n, p, p - q AS lag, p - row_number() OVER (PARTITION BY r, k, p - q ORDER BY p) AS run FROM m),
+o AS (SELECT r, min(p) AS place, max(p) + max(n) - min(p) AS size FROM g GROUP BY r, k, lag, run),
+l AS (SELECT r, max(size) AS longest_match, arg_min(place, place - size * 1000000000) AS match_at FROM o GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest_match, 0) AS longest_match, coalesce(match_at, -1) AS match_at
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r) LEFT JOIN l USING (r)
+"""
+
+
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
@@ -143,6 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontaminate": OP1_SQL,
         "op2_warc_index": OP2_SQL,
         "op8_chat_preferences": OP8_SQL,
         "op10_url_rules": OP10_SQL,
