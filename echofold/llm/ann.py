@@ -1,26 +1,26 @@
 """Approximate nearest neighbours by a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted in numpy on at most ``sample`` distinct vectors (the smallest hashes) and broadcast; every
-row is then sent down it to a leaf. A query walks the tree through a priority queue, always opening the node
-whose centre is nearest, until it has visited W leaves and these hold k + 1 ids. W is calibrated: it widens
-until, over the sample, the mean recall against brute force reaches the target. More leaves (about the square root of the
-number of vectors) keep a leaf small as the data grows.
+Vectors have a cosine with those of their own length, so there is a tree for each length. Trees are fitted in
+numpy on at most ``sample`` distinct vectors (the smallest hashes, shared evenly by the lengths, LEAST_SAMPLE a
+length at least) and broadcast; every row is then sent down its tree to a leaf. A query walks the tree through a
+priority queue, always opening the node whose centre is nearest, until it has visited W leaves and these hold
+k + 1 ids. W is calibrated: it widens until, over the sample, the mean recall against brute force reaches the
+target. More leaves (about the square root of the number of vectors) keep a leaf small as the data grows.
 
 Equal vectors are one entry with their k + 1 smallest ids, which is all that any query can need of them;
-equal query vectors are searched for once. Leaves are dealt in blocks of about BLOCK entries, and a query
-goes to each block of the leaves that it visits, so that no task holds a leaf.
+equal query vectors are searched for once. The entries of a leaf are dealt to blocks of about BLOCK, its queries to
+blocks of about QUERY_BLOCK, and every two of them meet in a group of their own; of a group's rows only the
+entries are held, queries stream past them.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
-with a null id, nor vectors of another length than the sample's commonest (ties: the longest). A row that
-repeats (id and vector) counts once; rows of the query's own id are no candidates. Ties go to the smaller
-id. An empty table gives no rows. Extra columns are not read.
+with a null id. A row that repeats (id and vector) counts once; rows of the query's own id are no candidates. Ties
+go to the smaller id. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +36,8 @@ SAMPLE = 20_000
 BRANCH = 8
 MAX_LEAVES = 4096
 BLOCK = 4096
+QUERY_BLOCK = 8192
+LEAST_SAMPLE = 256
 RECALL = 0.97
 CALIBRATION = 256
 
@@ -153,18 +155,46 @@ def matrix(column: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(b) for b in column])
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Consecutive rows with equal leaf and g."""
-    now, rows = None, []
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[bool, list[tuple]]]:
+    """(first of its group, rows without key) for up to 512 consecutive rows with equal first columns and side.
+
+    The column after the keys is the side; all rows of side 0, the first of a group, come at once.
+    """
+    now, rows, fresh = None, [], True
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if r[:2] != now:
+            k = r[: keys + 1]
+            if k != now or (k[keys] and len(rows) == 512):
                 if rows:
-                    yield rows
-                now, rows = r[:2], []
-            rows.append(r)
+                    yield fresh, rows
+                fresh, now, rows = now is None or k[:keys] != now[:keys], k, []
+            rows.append(r[keys:])
     if rows:
-        yield rows
+        yield fresh, rows
+
+
+class Forest:
+    """A tree and its calibrated width by length of vectors; lengths without a tree are one leaf."""
+
+    def __init__(self, trees: dict[int, tuple[Tree, int]]):
+        self.trees, self.held = trees, {}
+
+    def assign(self, dim: int, x: np.ndarray) -> np.ndarray:
+        return self.trees[dim][0].assign(x) if dim in self.trees else np.zeros(len(x), np.int32)
+
+    def visits(self, dim: int, q: np.ndarray, least: int) -> list[int]:
+        if dim not in self.trees:
+            return [0]
+        tree, width = self.trees[dim]
+        return tree.visits(q, width, self.held[dim], least)
+
+
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, unit vectors) of the vectors (column v) of a batch, for each length (column dim) in it."""
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        yield int(dim), at, unit(matrix(batch.column("v").take(pa.array(at)).to_pylist()))
 
 
 def nearest(df: DataFrame, queries: Column, key: str = "vec_id", column: str = "embedding", k: int = K, sample: int = SAMPLE, target: float = RECALL, leaves: int | None = None) -> DataFrame:
@@ -178,76 +208,92 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", column: str = "
     by = Window.partitionBy("v").orderBy("id")
     few = rows.distinct().withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1)
     entries = written(few.groupBy("v").agg(F.max("dim").alias("dim"), F.sort_array(F.collect_list("id")).alias("ids")).withColumn("h", F.xxhash64("v")), "entries")
-    total = entries.count()
-    chosen = entries.orderBy("h", "v").limit(sample).select("dim", "v").collect()
+    sizes = written(entries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    totals = {r.dim: r.n for r in sizes.collect()}  # one row a length
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not chosen:
+    if not totals:
         return empty
-    dim = max(Counter(r.dim for r in chosen).items(), key=lambda x: (x[1], x[0]))[0]
-    x = unit(matrix([bytes(r.v) for r in chosen if r.dim == dim]))
-    tree = Tree(x, leaves or min(MAX_LEAVES, max(1, len(x) // 16), 1 << round(math.log2(math.sqrt(total)))))
-    held, width = spark.sparkContext.broadcast(tree), tree.calibrate(x, k, target, CALIBRATION)
+    share = max(LEAST_SAMPLE, sample // len(totals))
+    low = (F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("n") <= 3 * share + 50
+    few = entries.join(F.broadcast(sizes), "dim").where(low).withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy("h", "v")))
+    drawn = few.where(F.col("r") <= share).select("dim", "v").orderBy("dim", "r").toArrow()
+    trees = {}
+    for dim, _, x in by_length(drawn.combine_chunks().to_batches()[0]) if drawn.num_rows else ():
+        tree = Tree(x, leaves or min(MAX_LEAVES, max(1, len(x) // 16), 1 << round(math.log2(math.sqrt(totals[dim])))))
+        trees[dim] = tree, tree.calibrate(x, k, target, CALIBRATION)
+    forest = Forest(trees)
+    planted = spark.sparkContext.broadcast(forest)
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                home = held.value.assign(unit(matrix(batch.column(0).to_pylist())))
-                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), *batch.columns], names=["leaf", "v", "ids"])
+                home = np.zeros(batch.num_rows, np.int32)
+                for dim, at, x in by_length(batch):
+                    home[at] = planted.value.assign(dim, x)
+                yield pa.RecordBatch.from_arrays([batch.column("dim"), pa.array(home, pa.int32()), batch.column("v"), batch.column("ids")], names=["dim", "leaf", "v", "ids"])
+
+    homes = written(entries.select("dim", "v", "ids").mapInArrow(leaf, "dim int, leaf int, v binary, ids array<long>"), "homes")
+    blocks = written(homes.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.sum(F.size("ids")).alias("n_ids")), "leaves")
+    forest.held = {dim: np.zeros(len(tree.leaf), np.int64) for dim, (tree, _) in trees.items()}
+    for r in blocks.collect():  # a row a leaf
+        if r.dim in trees:
+            forest.held[r.dim][r.leaf] = r.n_ids
+    weighed = spark.sparkContext.broadcast(forest)
 
     def open_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                seen = [held.value.visits(q, width, sizes, k + 1) for q in unit(matrix(batch.column(1).to_pylist()))]
-                at = pa.array(np.repeat(np.arange(len(seen)), [len(s) for s in seen]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen), pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["leaf", "qid", "v"])
+            for dim, at, x in by_length(batch) if batch.num_rows else ():
+                seen = [weighed.value.visits(dim, q, k + 1) for q in x]
+                rows = batch.take(pa.array(np.repeat(at, [len(s) for s in seen])))
+                yield pa.RecordBatch.from_arrays([rows.column("dim"), pa.array(np.concatenate(seen), pa.int32()), rows.column("qid"), rows.column("v")], names=["dim", "leaf", "qid", "v"])
 
-    mine = entries.where(F.col("dim") == dim)
-    homes = written(mine.select("v", "ids").mapInArrow(leaf, "leaf int, v binary, ids array<long>"), "homes")
     # queries: all members, also those beyond the ids that their entry keeps
-    asked = written(rows.where(queries & (F.col("dim") == dim)).select("id", "v").distinct(), "asked")
-    numbered = written(asked.select("v").distinct().select(F.monotonically_increasing_id().alias("qid"), "v"), "queries")
-    blocks = homes.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.sum(F.size("ids")).alias("n_ids"))
-    sizes = np.zeros(len(tree.leaf), np.int64)
-    for r in blocks.collect():  # a row a leaf
-        sizes[r.leaf] = r.n_ids
-    blocks = blocks.select("leaf", "n")
-    dealt = homes.join(F.broadcast(blocks), "leaf").select("leaf", F.pmod(F.xxhash64("v"), F.col("n")).cast("int").alias("g"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("qid"), "v", "ids")
-    sent = numbered.mapInArrow(open_leaves, "leaf int, qid long, v binary").join(F.broadcast(blocks), "leaf")
-    sent = sent.select("leaf", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("g"), F.lit(0).alias("side"), "qid", "v", F.lit(None).cast("array<long>").alias("ids"))
+    asked = written(rows.where(queries).select("id", "dim", "v").distinct(), "asked")
+    numbered = written(asked.select("dim", "v").distinct().select(F.monotonically_increasing_id().alias("qid"), "dim", "v"), "queries")
+    visits = written(numbered.mapInArrow(open_leaves, "dim int, leaf int, qid long, v binary"), "visits")
+    crowd = visits.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("m"))
+    plan = F.broadcast(blocks.join(crowd, ["dim", "leaf"]).select("dim", "leaf", "n", "m"))  # a row a leaf
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda x, c: F.pmod(F.xxhash64(x), F.col(c)).cast("int")
+    dealt = homes.join(plan, ["dim", "leaf"]).withColumn("g", part("v", "n")).withColumn("f", every("m"))
+    dealt = dealt.select("dim", "leaf", "g", "f", F.lit(0).alias("side"), F.lit(None).cast("long").alias("qid"), "v", "ids")
+    sent = visits.join(plan, ["dim", "leaf"]).withColumn("f", part("qid", "m")).withColumn("g", every("n"))
+    sent = sent.select("dim", "leaf", "g", "f", F.lit(1).alias("side"), "qid", "v", F.lit(None).cast("array<long>").alias("ids"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches):
-            ask, have = [r for r in group if r[2] == 0], [r for r in group if r[2] == 1]
-            if not ask or not have:
+        data = None
+        for fresh, group in grouped(batches, 4):
+            if fresh:
+                data = None
+            if not group[0][0]:
+                data, ids = matrix([r[2] for r in group]), [r[3] for r in group]
+                first, units = np.array([i[0] for i in ids]), unit(data)
+                continue
+            if data is None:
                 continue
-            data, ids = matrix([r[4] for r in have]), [r[5] for r in have]
-            low = np.array([i[0] for i in ids])
-            units = unit(data)
-            for at in range(0, len(ask), 512):
-                q = matrix([r[4] for r in ask[at : at + 512]])
-                rough = unit(q) @ units.T
-                keep = min(len(have), k + 1)
-                out: tuple[list, list, list] = ([], [], [])
-                for i, s in enumerate(rough):
-                    # all within rounding of the last one kept are ranked by the exact measure
-                    last = -np.partition(-s, keep - 1)[keep - 1]
-                    near = np.flatnonzero(s >= last - 1e-9)
-                    score = cosine(q[i], data[near])
-                    for j in np.lexsort((low[near], -score))[:keep]:
-                        out[0].append(ask[at + i][3])
-                        out[1].append(score[j])
-                        out[2].append(ids[near[j]])
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int64()))], names=["qid", "score", "ids"])
-
-    met = dealt.unionByName(sent).repartition(parts, "leaf", "g").sortWithinPartitions("leaf", "g", "side")
+            q = matrix([r[2] for r in group])
+            keep = min(len(data), k + 1)
+            out: tuple[list, list, list] = ([], [], [])
+            for i, s in enumerate(unit(q) @ units.T):
+                # all within rounding of the last one kept are ranked by the exact measure
+                last = -np.partition(-s, keep - 1)[keep - 1]
+                near = np.flatnonzero(s >= last - 1e-9)
+                score = cosine(q[i], data[near])
+                for j in np.lexsort((first[near], -score))[:keep]:
+                    out[0].append(group[i][1])
+                    out[1].append(score[j])
+                    out[2].append(ids[near[j]])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int64()))], names=["qid", "score", "ids"])
+
+    met = dealt.unionByName(sent).repartition(parts, "dim", "leaf", "g", "f").sortWithinPartitions("dim", "leaf", "g", "f", "side")
     hits = met.mapInArrow(search, "qid long, score double, ids array<long>")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), F.element_at("ids", 1))
     hits = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    members = asked.join(numbered, "v").select("qid", F.col("id").alias("query_id"))
+    members = asked.join(numbered, ["dim", "v"]).select("qid", F.col("id").alias("query_id"))
     pairs = members.join(hits, "qid").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = written(pairs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
-    drop_tables(entries, homes, asked, numbered)
+    drop_tables(entries, sizes, homes, blocks, asked, numbered, visits)
     return out
 
 

@@ -79,3 +79,23 @@ def test_small_leaves_give_k_rows(spark):
     data = [(k, (centre[k % 40] + 0.01 * rng.normal(size=8)).tolist(), 0) for k in range(120)]
     got = ann.nearest(spark.createDataFrame(data, SCHEMA), F.col("id") % 10 == 0, target=0.3, leaves=40).collect()
     assert sorted((r.query_id, r["rank"]) for r in got) == [(q, r) for q in range(0, 120, 10) for r in range(1, 6)]
+
+
+def test_every_length_takes_part(spark, monkeypatch):
+    """Vectors of three lengths, one too rare for the sample, in small blocks on both sides."""
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(ann, "LEAST_SAMPLE", 40)
+    rng = np.random.default_rng(8)
+    data = [(k, rng.normal(size=8 if k % 3 else 5 if k % 2 else 3).astype(np.float32).tolist(), 0) for k in range(300)]
+    got = ann.nearest(spark.createDataFrame(data, SCHEMA), F.col("id") % 10 == 0, target=1.1, sample=60)
+    out, want = {}, {}
+    for r in sorted(got.collect()):
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    for n in (3, 5, 8):
+        mine = {i: np.array(v) for i, v, _ in data if len(v) == n}
+        for i in mine:
+            if i % 10 == 0:
+                s = sorted((-float(mine[i] @ mine[j] / np.linalg.norm(mine[i]) / np.linalg.norm(mine[j])), j) for j in mine if j != i)
+                want[i] = [j for _, j in s[:5]]
+    assert out == want
