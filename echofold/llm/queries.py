@@ -45,10 +45,10 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r) LEFT JOIN l USING (r)
 
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_dir(spark, "warc")
-    warc.write(table(spark, sf_dir, "pages"), folder)
+    folder, pages = shared_dir(spark, "warc"), table(spark, sf_dir, "pages")
+    warc.write(pages, folder)
     warc.build_index(spark, folder)
-    return warc.read_back(spark, folder)
+    return warc.lookup(pages, folder)
 
 
 OP2_SQL = """

@@ -4,8 +4,8 @@
 ``min_revisit`` bytes that several pages share is stored once, with the page of the largest id, and the
 others become revisit records. ``build_index`` sorts the captures by reversed-host URL key, packs them into
 compressed blocks and keeps a sparse directory of first keys per shard, and one of shards above it.
-``CaptureIndex.find`` binary-searches both and then range-reads one block and the records; ``read_back``
-walks all blocks and range-reads every record.
+A lookup binary-searches both, range-reads the block and the records: ``CaptureIndex.find`` for single URLs,
+``lookup`` for tables of them, sorted, so that a directory is opened and a block is read once for all its keys.
 
 Tasks write files under names of their own and only the files in the committed manifest count, so a task
 that ran twice or was lost leaves no wrong record behind.
@@ -31,10 +31,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 MIN_REVISIT = 1000
 BLOCK_LINES = 2048
+#: Up to so many repeated payloads (some 30 bytes each) are known to every task; more are joined by shuffling.
+KNOWN_PAYLOADS = 200_000
 FILE_BYTES = 512 << 20
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
@@ -117,18 +119,22 @@ def read_record(data: bytes) -> tuple[int | None, int, str, str, int | None]:
 def decisions(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, html and refers_to (null: store as response).
 
-    The largest id per payload is a partial aggregation over digests; html moves once, keyed by digest, in
-    a join whose hot keys AQE splits.
+    The largest id per payload is a partial aggregation over digests. Payloads that repeat are counted: up to
+    KNOWN_PAYLOADS they are broadcast, so that html does not move; beyond, html moves once, keyed by digest, in a
+    join whose hot keys AQE splits.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     d = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html).alias("digest"))
-    shared = (
+    shared = written(
         d.where(F.octet_length("html") >= min_revisit)
         .groupBy("digest")
         .agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("digest", "response_id")
+        .select("digest", "response_id"),
+        "payloads",
     )
+    if shared.count() <= KNOWN_PAYLOADS:
+        shared = F.broadcast(shared)
     refers = F.when(F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id"))
     return d.join(shared, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
@@ -229,18 +235,20 @@ class Shard:
         lines = (x.split("\t") for x in zlib.decompress(self.file.read_at(length, at)).decode().split("\n"))
         return [(key, file, int(offset), int(size)) for key, file, offset, size in lines]
 
+    def places(self, key: str) -> range:
+        """The blocks that may hold a key: from the last one that starts before it, as far as first keys reach."""
+        return range(max(0, bisect.bisect_left(self.first, key) - 1), bisect.bisect_right(self.first, key))
+
     def find(self, key: str) -> Iterator[tuple[str, int, int]]:
-        """Captures of a key: from the last block that starts before it, as far as keys are equal."""
-        k = max(0, bisect.bisect_left(self.first, key) - 1)
-        while k < len(self.first) and self.first[k] <= key:
-            block = self.block(k)
-            at = bisect.bisect_left(block, key, key=lambda x: x[0])
-            while at < len(block) and block[at][0] == key:
-                yield block[at][1:]
-                at += 1
-            if at < len(block):
-                return
-            k += 1
+        """Captures of a key."""
+        for k in self.places(key):
+            yield from within(self.block(k), key)
+
+
+def within(block: list[tuple[str, str, int, int]], key: str) -> list[tuple[str, int, int]]:
+    """The captures of a key in a sorted block."""
+    low, high = (side(block, key, key=lambda x: x[0]) for side in (bisect.bisect_left, bisect.bisect_right))
+    return [x[1:] for x in block[low:high]]
 
 
 class CaptureIndex:
@@ -258,18 +266,29 @@ class CaptureIndex:
     def __getstate__(self):
         return self.__dict__ | {"open": {}}
 
-    def find(self, url: str | None) -> list[tuple[str, int, int]]:
-        """(file, offset, length) of each capture of the url."""
-        fs, root = filesystem(self.folder)
-        key, out = url_key(url), []
+    def holders(self, key: str) -> list[str]:
+        """The shards whose keys enclose a key, by binary search over the directory of shards."""
+        out = []
         for name, first, _ in self.shards[bisect.bisect_left(self.last, key) :]:
             if first > key:
                 break
-            if name not in self.open:
-                self.open[name] = Shard(fs, f"{root}/index/{name}")
-            out += self.open[name].find(key)
+            out.append(name)
         return out
 
+    def shard(self, name: str) -> Shard:
+        """An opened shard; of those that a worker met, the last few are kept open."""
+        if name not in self.open:
+            if len(self.open) >= 8:
+                self.open.pop(next(iter(self.open))).file.close()
+            fs, root = filesystem(self.folder)
+            self.open[name] = Shard(fs, f"{root}/index/{name}")
+        return self.open[name]
+
+    def find(self, url: str | None) -> list[tuple[str, int, int]]:
+        """(file, offset, length) of each capture of the url."""
+        key = url_key(url)
+        return [x for name in self.holders(key) for x in self.shard(name).find(key)]
+
     def records(self, url: str | None) -> list[tuple]:
         fs, root = filesystem(self.folder)
         out = []
@@ -283,33 +302,35 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def lookup(urls: DataFrame, folder: str) -> DataFrame:
-    """The records captured under each row of urls (column url): url and the columns of read_back."""
-    index = CaptureIndex.of(urls.sparkSession, folder)
+    """The records captured under the rows of urls (column url), each once: the columns of RECORDS.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(u, *r) for u in batch.column(0).to_pylist() for r in index.records(u)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["url", *(x.split()[0] for x in RECORDS.split(", "))])
-
-    return urls.select("url").mapInArrow(run, "url string, " + RECORDS)
-
-
-def read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record, found through the index: page_id, payload_bytes, payload_digest, record_type, refers_to.
-
-    Index shards are read in parallel; the captures are then ordered by archive and offset, so that each
-    archive is read forwards in ranges.
+    Keys are sorted and looked up in the directories of shards and blocks; what that gives, (shard, block, key), meets
+    by block, which is read once; a key of many captures lies in many blocks, and so in many tasks. Captures are then
+    ordered by archive and offset, so that each archive is read forwards in ranges. Two URLs can have one key.
     """
+    spark = urls.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = CaptureIndex.of(spark, folder)
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = filesystem(folder)
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["key"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(name, k, key) for key in batch.column(0).to_pylist() for name in index.holders(key) for k in index.shard(name).places(key)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["shard", "block", "key"])
+
+    def captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                shard = Shard(fs, f"{root}/index/{name}")
-                for k in range(len(shard.first)):
-                    _, file, offset, length = zip(*shard.block(k), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(file, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], names=["file", "offset", "length"])
+            out = []
+            for name, k, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (name, k) != now:
+                    now, held = (name, k), index.shard(name).block(k)
+                out += within(held, key)
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "offset", "length"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
@@ -324,6 +345,7 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
                 rows.append(read_record(f.read_at(length, offset)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=[x.split()[0] for x in RECORDS.split(", ")])
 
-    shards = spark.read.schema(SHARD).parquet(f"{folder}/shards").select("shard").repartition(n, "shard")
-    found = shards.mapInArrow(entries, "file string, offset long, length long")
+    wanted = urls.select("url").mapInArrow(keys, "key string").distinct().repartitionByRange(n, "key").sortWithinPartitions("key")
+    at = wanted.mapInArrow(blocks, "shard string, block long, key string").repartition(n, "shard", "block").sortWithinPartitions("shard", "block", "key")
+    found = at.mapInArrow(captures, "file string, offset long, length long")
     return found.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(records, RECORDS)

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from echofold.llm import warc
 from echofold.llm.common import shared_dir
 
@@ -33,16 +35,19 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def test_round_trip_and_lookup(spark):
+@pytest.mark.parametrize("known", [0, 1000])
+def test_round_trip_and_lookup(spark, monkeypatch, known):
+    monkeypatch.setattr(warc, "KNOWN_PAYLOADS", known)
     pages = spark.createDataFrame([(*r, "x") for r in ROWS], "page_id long, url string, html string, digest string")
     folder = shared_dir(spark, "warc")
     warc.write(pages, folder, file_bytes=600)
     warc.build_index(spark, folder, block_lines=2, shards=3)
-    assert sorted(map(tuple, warc.read_back(spark, folder).collect()), key=str) == brute(ROWS)
+    assert sorted(map(tuple, warc.lookup(pages, folder).collect()), key=str) == brute(ROWS)
     for url in {r[1] for r in ROWS}:
         want = sorted([b for b in brute(ROWS) if b[0] in {r[0] for r in ROWS if warc.url_key(r[1]) == warc.url_key(url)}], key=str)
-        got = warc.lookup(spark.createDataFrame([(url,)], "url string"), folder).drop("url").collect()
+        got = warc.lookup(spark.createDataFrame([(url,)], "url string"), folder).collect()
         assert sorted(map(tuple, got), key=str) == want
+        assert sorted(warc.CaptureIndex.of(spark, folder).records(url), key=str) == want
     assert warc.CaptureIndex.of(spark, folder).find("http://none.example/") == []
 
 
@@ -52,7 +57,17 @@ def test_keys():
 
 
 def test_empty(spark):
-    folder = shared_dir(spark, "warc")
-    warc.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)
+    folder, none = shared_dir(spark, "warc"), spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write(none, folder)
     warc.build_index(spark, folder)
-    assert warc.read_back(spark, folder).collect() == []
+    assert warc.lookup(none, folder).collect() == []
+
+
+def test_hot_key(spark):
+    """One URL for a third of all rows, over many blocks and shards."""
+    pages = spark.range(300).selectExpr("id as page_id", "if(id % 3 = 0, 'http://hot.org/x', concat('http://a.org/', id)) as url", "concat('page ', id) as html")
+    folder = shared_dir(spark, "warc")
+    warc.write(pages, folder, file_bytes=4000)
+    warc.build_index(spark, folder, block_lines=7, shards=5)
+    assert sorted(r.page_id for r in warc.lookup(pages, folder).collect()) == list(range(300))
+    assert sorted(r.page_id for r in warc.lookup(pages.where("page_id = 3"), folder).collect()) == list(range(0, 300, 3))
