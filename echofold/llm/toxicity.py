@@ -51,7 +51,8 @@ ROUNDS, PAIR_ROUNDS, RATE = 80, 60, 0.1
 GAP_SHARE = 0.4
 #: Penalties in standard errors of a term's or a pair's gradient.
 L1_W, L2_V = 0.35, 12.0
-SLICE = 1 << 20
+#: Terms and texts that are worked through at a time.
+SLICE, LINES = 1 << 20, 256
 
 
 def terms(text: bytes | None, bits: int = HASH_BITS) -> np.ndarray:
@@ -78,10 +79,12 @@ class Machine:
     bits: int
 
     def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        at = [s[s > 0] for s in (self.slot[r] for r in rows)]
-        n = np.array([len(x) for x in at])
-        flat = np.concatenate(at) if n.sum() else np.zeros(0, np.int64)
-        return self.b + linear_and_pairs(self.w, self.v, flat, n)
+        out = [np.zeros(0)]
+        for k in range(0, len(rows), LINES):
+            at = [s[s > 0] for s in (self.slot[r] for r in rows[k : k + LINES])]
+            n = np.array([len(x) for x in at])
+            out.append(linear_and_pairs(self.w, self.v, np.concatenate(at), n))
+        return self.b + np.concatenate(out)
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         z = self.scale * (self.logits(rows) - self.shift) + np.log(THRESHOLD / (1 - THRESHOLD))
@@ -139,14 +142,11 @@ class Texts:
             out += np.bincount(self.flat[a:b], np.repeat(g[i:j], self.size[i:j]), n)
         return out
 
-    def only(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, term) of every occurrence of a term that keep (a mask of terms) admits."""
-        text, term = [], []
+    def only(self, keep: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, term) of every occurrence of a term that keep (a mask of terms) admits, slice by slice."""
         for i, j, a, b in self.parts:
             at = np.flatnonzero(keep[self.flat[a:b]])
-            text.append(np.repeat(np.arange(i, j, dtype=np.int32), self.size[i:j])[at])
-            term.append(self.flat[a:b][at])
-        return np.concatenate(text), np.concatenate(term)
+            yield np.repeat(np.arange(i, j, dtype=np.int32), self.size[i:j])[at], self.flat[a:b][at]
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -171,10 +171,10 @@ def pairs(texts: Texts, y: np.ndarray, g: np.ndarray, bits: int, seed: int) -> l
     place[rows], column[term] = np.arange(len(rows)), np.arange(len(term))
     mask = np.zeros(n, bool)
     mask[term] = True
-    at, of = texts.only(mask)
-    live = scale[at] > 0
     x = np.zeros((len(rows), len(term)), np.float32)
-    x[place[at[live]], column[of[live]]] = 1
+    for at, of in texts.only(mask):
+        live = scale[at] > 0
+        x[place[at[live]], column[of[live]]] = 1
     first, second = ((g * scale)[rows].astype(np.float32), (g * g * scale * scale)[rows].astype(np.float32))
     one, var = first @ x, np.maximum(second @ x, 1e-30)
     floor = PAIR_LEAST * float(second.mean())
@@ -223,24 +223,32 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = HASH_BITS, rank: int
         u *= 0.5 / np.sqrt((u * u).sum())
         v[slot[i]] += u
         v[slot[j]] += np.sign(z_pair) * u
-    at, term = texts.only(slot > 0)
-    flat, count = slot[term], np.bincount(at, minlength=len(y))
     factors = v.any(1)
     w = Adam(np.append(0.0, w.x[chosen]), np.append(0.0, penalty[chosen]))
     f, cost = Adam(v[factors]), (L2_V * error * np.append(0.0, share[chosen]))[factors, None]
     row = np.cumsum(factors) - 1
-    has = factors[flat]
-    who, which = at[has], row[flat[has]]
+    kept = []
+    for (i, j, *_), (at, term) in zip(texts.parts, texts.only(slot > 0), strict=True):
+        at, flat = at - np.int32(i), slot[term]
+        has = factors[flat]
+        kept.append((weight[i:j], y[i:j], at, flat, at[has], row[flat[has]]))
     for _ in range(PAIR_ROUNDS):
-        x = f.x[which]
-        s = np.stack([np.bincount(who, x[:, k], len(y)) for k in range(rank)], 1)
-        z = b.x[0] + sums(w.x[flat], count) + 0.5 * ((s * s).sum(1) - np.bincount(who, (x * x).sum(1), len(y)))
-        g = residual(z)
+        to_w, to_f, to_b = np.zeros_like(w.x), cost * f.x, 0.0
+        for share_of, label, at, flat, who, which in kept:
+            n = len(label)
+            x = f.x[which]
+            s = np.stack([np.bincount(who, x[:, k], n) for k in range(rank)], 1)
+            z = b.x[0] + np.bincount(at, w.x[flat], n) + 0.5 * ((s * s).sum(1) - np.bincount(who, (x * x).sum(1), n))
+            g = share_of * (sigmoid(z) - label)
+            to_w += np.bincount(flat, g[at], len(w.x))
+            to_b += g.sum()
+            if len(f.x):
+                pull = g[who, None] * (s[who] - x)
+                to_f += np.stack([np.bincount(which, pull[:, k], len(f.x)) for k in range(rank)], 1)
         if len(f.x):
-            pull = g[who, None] * (s[who] - x)
-            f.step(np.stack([np.bincount(which, pull[:, k], len(f.x)) for k in range(rank)], 1) + cost * f.x)
-        w.step(np.bincount(flat, g[at], len(w.x)))
-        b.step(np.array([g.sum()]))
+            f.step(to_f)
+        w.step(to_w)
+        b.step(np.array([to_b]))
     w.x[0] = 0
     v[factors] = f.x
     out = Machine(slot, w.x, v, float(b.x[0]), 1.0, 0.0, bits)

@@ -64,7 +64,7 @@ def test_sliced_sums():
     w, g = rng.normal(size=50), rng.normal(size=40)
     assert np.allclose(t.sums(w), [w[r].sum() for r in rows])
     assert np.allclose(t.by_term(g, 50), [sum(x for x, r in zip(g, rows, strict=True) if k in r) for k in range(50)])
-    at, term = t.only(np.arange(50) < 9)
+    at, term = map(np.concatenate, zip(*t.only(np.arange(50) < 9), strict=True))
     assert sorted(zip(at, term, strict=True)) == [(i, k) for i, r in enumerate(rows) for k in r if k < 9]
 
 
