@@ -377,11 +377,21 @@ def classes(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD)
     return rows.join(ids, "node", "left").select(key, F.coalesce(own, "class_id").alias("class_id"), F.coalesce(own, "copy_of").alias("copy_of"))
 
 
+def marked(node: Column, key: Column) -> Column:
+    """Node and key as one value that is never null."""
+    key = key.cast("string")
+    return F.concat(node, F.when(key.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), key)).cast("binary"))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without near-duplicates: of each class one row, that of its smallest key. Rows with a null text stay."""
+    """The rows of docs without near-duplicates: of each class one row, that of its smallest key. Rows with a null text stay.
+
+    Texts move once: rows meet their class's choice by node and key together, so that copies spread, and rows that
+    repeat are dropped where they lie then.
+    """
     _, nodes = node_classes(docs, key, threshold)
-    node, head, least = (free_name(docs, c) for c in ("node", "head", "least"))
-    heads = with_ids(nodes).where("node = head").select(F.col("node").alias(head), F.col("least").alias(least))
+    node, mark = (free_name(docs, c) for c in ("node", "mark"))
+    heads = with_ids(nodes).where("node = head").select(marked(F.col("node"), F.col("least")).alias(mark))
     names = docs.columns
     at = names.index("text")
 
@@ -390,6 +400,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD)
             keys = [text_key(t, byte_words(t)) for t in utf8_values(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*names, node])
 
-    marked = docs.where("text is not null").mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(node, T.BinaryType())]))
-    kept = marked.join(heads, (F.col(node) == F.col(head)) & F.col(key).eqNullSafe(F.col(least)))
-    return kept.dropDuplicates([node, key]).select(*names).unionByName(docs.where("text is null"))
+    noted = docs.where("text is not null").mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField(node, T.BinaryType())]))
+    kept = noted.withColumn(mark, marked(F.col(node), F.col(key))).drop(node).join(heads, mark, "left_semi")
+    return kept.dropDuplicates([mark]).select(*names).unionByName(docs.where("text is null"))

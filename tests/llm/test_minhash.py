@@ -155,3 +155,15 @@ def test_components(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.classes(df).collect() == [] and minhash.keep_one(df).collect() == []
+
+
+def test_keep_one_with_clashing_columns_and_repeats(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, text, 1, "a", "x"), (2, text.upper(), 2, "b", "y"), (2, text, 3, "c", "z"), (3, "other words here", 4, "d", "u"), (3, "other words here", 4, "d", "u"), (4, None, 5, "e", "v"), (5, "", 6, "f", "w"), (6, "", 7, "g", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Node int, mark string, head string")
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted((tuple(r) for r in kept.collect()), key=str)
+    assert [r[0] for r in got if r[1] is None] == [4]
+    assert sorted(r[0] for r in got) == [2, 3, 4, 5] and rows[3] in got
+
