@@ -1,13 +1,14 @@
 """Personal data: base patterns, and a linear-chain conditional random field that adds spans.
 
-The field labels white-space tokens (B/I of email, ip, card, phone, secret, else O) from word-shape features
-of a token and its neighbours. It is trained in numpy (forward-backward, Adam) on a small labelled table
+The field labels white-space tokens (B/I of email, ip, card, phone, secret, iban, document, else O) from word-shape
+features of a token and its neighbours. It is trained in numpy (forward-backward, Adam) on a small labelled table
 that ``labelled_table`` writes from templates, and decoded by Viterbi over batches of sequences. Sequences
 are the stretches around tokens that hold a digit, an ``@``, an ``=`` or a cue word; every labelled span of
 the table holds one, so tokens further than ``CONTEXT`` from all of them are O without decoding.
 
-What the field finds is added only if it overlaps no base span and holds as its kind (a card passes Luhn,
-an address written out with (at) reads as one, a secret is long and mixed); base spans always stay.
+What the field finds is added only if it overlaps no base span and holds as its kind (a card passes Luhn, an IBAN its
+check digits, an address written out with (at) reads as one, a secret is long and mixed, a passport's number or a
+phone number of digits alone stands after a word that says so); base spans always stay.
 
 Defined results: a null text is empty; empty texts have no spans. Repeated rows give equal rows. Extra
 columns are not read by ``find``; ``redact`` keeps them.
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from .common import released, small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "secret")
+KINDS = (*BASE_KINDS, "secret", "iban", "document")
 CONTEXT = 3
 BATCH_CHARS = 8_000_000
 
@@ -85,7 +86,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 # ---- features
-CUES = ("token", "password", "passwd", "secret", "key", "apikey", "api_key", "phone", "tel", "card", "(at)", "[at]", "(dot)", "[dot]")
+PHONE_CUES = ("phone", "tel", "mobile", "fax")
+DOCUMENT_CUES = ("passport",)
+CUES = ("token", "password", "passwd", "secret", "key", "apikey", "api_key", *PHONE_CUES, "card", "iban", *DOCUMENT_CUES, "(at)", "[at]", "(dot)", "[dot]")
 SIGN = re.compile("[0-9@=]")
 TRIGGER = re.compile("[0-9@=]|" + "|".join(map(re.escape, CUES)), re.I)
 RUN = re.compile(r"(.)\1+", re.S)
@@ -136,7 +139,7 @@ def labelled_table(n: int = 480, seed: int = 11) -> list[tuple[list[str], list[s
     syllables = "an er in ou th es en ti re on la de que ich keit ción los die und".split()
     name = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 4))))
     alnum = "abcdefghijklmnopqrstuvwxyz0123456789"
-    code = lambda k, a=alnum: "".join(pick(a) for _ in range(k))
+    chars = lambda k, a=alnum: "".join(pick(a) for _ in range(k))
 
     def word() -> str:
         w = name()
@@ -160,11 +163,23 @@ def labelled_table(n: int = 480, seed: int = 11) -> list[tuple[list[str], list[s
             lead = pick(([], ["card"], ["card:"]))
             return kind, [*lead, *t], len(lead), len(lead) + len(t) - 1
         if kind == "phone":
+            if rng.random() < 0.2:
+                lead = pick((["tel:"], ["phone"], ["mobile"], ["fax:"]))
+                return kind, [*lead, f"0{num(int(rng.integers(9, 11)))}"], 1, 1
             t = pick((["+1", f"({num(3)})", f"{num(3)}-{num(4)}"], [f"({num(3)})", f"{num(3)}-{num(4)}"], [f"+{num(2)}", num(3), num(4), num(3)], [f"{num(3)}-{num(3)}-{num(4)}"]))
             lead = pick(([], ["tel:"], ["phone"]))
             return kind, [*lead, *t], len(lead), len(lead) + len(t) - 1
+        if kind == "iban":
+            code = f"{pick(('DE', 'FR', 'ES', 'GB', 'NL', 'AZ'))}{num(2)}{pick(('', 'ABNA', 'BARC'))}{num(int(rng.integers(12, 20)))}"
+            t = pick(([code], [code[k : k + 4] for k in range(0, len(code), 4)]))
+            lead = pick(([], ["IBAN"], ["iban:"]))
+            return kind, [*lead, *t], len(lead), len(lead) + len(t) - 1
+        if kind == "document":
+            number = pick((f"{pick('ABCDEFGHKLMNP')}{num(8)}", num(9), f"{pick('ABCDEFGHKLMNP')}{pick('ABCDEFGHKLMNP')}{num(7)}"))
+            lead = pick((["passport"], ["passport:"], ["Passport", "no."], ["passport", "number"]))
+            return kind, [*lead, number], len(lead), len(lead)
         cue = pick(("token", "password", "secret", "api_key", "key"))
-        value = pick((code(40, "0123456789abcdef"), code(32, "0123456789abcdef"), code(24), f"sk_{code(20)}"))
+        value = pick((chars(40, "0123456789abcdef"), chars(32, "0123456789abcdef"), chars(24), f"sk_{chars(20)}"))
         quote = pick(('"', "'", ""))
         value = f"{quote}{value}{quote}"
         t = pick(([cue, "=", value], [f"{cue}:", value], [f"{cue}={value}"]))
@@ -264,7 +279,7 @@ def logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def trained(rounds: int = 120) -> Field:
+def trained(rounds: int = 70) -> Field:
     """The field, fitted on the labelled table by full-batch Adam on the penalised log-likelihood."""
     table = labelled_table()
     names: dict[str, int] = {}
@@ -324,16 +339,36 @@ def written_out(text: str) -> str:
 SECRET = re.compile("[A-Za-z0-9_+/=-]{16,}")
 
 
-def holds(kind: int, text: str) -> bool:
-    """Whether what the field labelled reads as its kind."""
+IBAN = re.compile("[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}")
+
+
+def is_iban(text: str) -> bool:
+    """Whether the check digits are right: as a number, with the first four signs last, 1 modulo 97."""
+    code = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+def cued(before: list[str], cues: tuple[str, ...]) -> bool:
+    """Whether one of the two tokens before says what follows."""
+    return any(t.strip(EDGE).lower() in cues for t in before[-2:])
+
+
+def holds(kind: int, text: str, before: list[str] = ()) -> bool:
+    """Whether what the field labelled, after the tokens before, reads as its kind."""
     if kind == 0:
         return bool(EMAIL.fullmatch(written_out(text)))
     if kind == 1:
         return bool(IP.fullmatch(text)) and is_ip(text)
     if kind == 2:
         return bool(re.fullmatch("[0-9](?:[ .-]?[0-9])+", text)) and is_card(text)
+    if kind == 3 and text.isascii() and text.isdigit():
+        return text[0] == "0" and 10 <= len(text) <= 12 and cued(before, PHONE_CUES)
     if kind == 3:
         return bool(re.fullmatch(r"\+?[0-9(][ ().0-9-]+[0-9]", text)) and 10 <= len(NOT_DIGIT.sub("", text)) <= 15 and not text.isdigit()
+    if kind == 5:
+        return bool(IBAN.fullmatch(text)) and is_iban(text)
+    if kind == 6:
+        return bool(re.fullmatch("[A-Z]{0,2}[0-9]{6,9}", text)) and cued(before, DOCUMENT_CUES)
     return bool(SECRET.fullmatch(text)) and bool(DIGIT.search(text)) and bool(re.search("[A-Za-z]", text))
 
 
@@ -354,15 +389,15 @@ def trimmed(kind: int, text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
-    """Spans that the field finds in each text beyond the base spans."""
+def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field: Field, gate: bool = True) -> list[list[tuple[int, int, int]]]:
+    """Spans that the field finds in each text beyond the base spans. gate: decode only around tokens that give reason."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     jobs, sequences = [], []
     for k, text in enumerate(texts):
-        if not TRIGGER.search(text):
+        if gate and not TRIGGER.search(text):
             continue
         tokens = text.split()
-        plain = {t: is_plain(t) for t in set(tokens)}
+        plain = {t: gate and is_plain(t) for t in set(tokens)}
         near = np.array([not plain[t] for t in tokens])
         hot = np.flatnonzero(near)
         if not len(hot):
@@ -387,7 +422,8 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
                 while u < len(labels) and LABELS[labels[u]] == f"I-{KINDS[kind]}":
                     u += 1
                 start, end = trimmed(kind, texts[k], where[k][first + t][0], where[k][first + u - 1][1])
-                if start < end and holds(kind, texts[k][start:end]) and all(end <= s or start >= e for _, s, e in base[k]):
+                before = [texts[k][a:b] for a, b in where[k][max(0, first + t - 2) : first + t]]
+                if start < end and holds(kind, texts[k][start:end], before) and all(end <= s or start >= e for _, s, e in base[k]):
                     out[k].append((kind, start, end))
                 t = u
             else:

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import re
 
+import duckdb
 import numpy as np
 
 from echofold.llm import pii
@@ -80,3 +81,21 @@ def test_find_and_redact(spark):
     assert out[len(CASES) - 1].text == 'token = "<SECRET>"### <CARD>$$$ <IP>###'
     assert pii.redact(df).columns == df.columns and out[1].text == ""
     assert pii.find(df.limit(0)).collect() == []
+
+
+def test_more_kinds():
+    texts = [
+        "Passport no. C01234567, issued in Bonn", "please pay to IBAN DE89370400440532013000 today", "iban: GB82 WEST 1234 5698 7654 32 thanks", "mobile 01712345678 or",
+        "the number 01712345678 alone", "IBAN DE89370400440532013001 is mistyped", "flight AB1234567 leaves",
+    ]
+    got = [[(pii.KINDS[k], t[s:e]) for k, s, e in a if (k, s, e) not in b] for t, (b, a) in zip(texts, pii.spans(texts), strict=True)]
+    assert got == [[("document", "C01234567")], [("iban", "DE89370400440532013000")], [("iban", "GB82 WEST 1234 5698 7654 32")], [("phone", "01712345678")], [], [], []]
+
+
+def test_gate_loses_nothing():
+    """Decoding around tokens that give reason finds what decoding everything finds."""
+    field = pii.trained()
+    texts = [" ".join(t) for t, _ in pii.labelled_table(300, seed=5)]
+    texts += [r for r in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' where text is not null").fetchnumpy()["text"]]
+    base = [pii.base_spans(t) for t in texts]
+    assert list(map(sorted, pii.added_spans(texts, base, field))) == list(map(sorted, pii.added_spans(texts, base, field, gate=False)))
