@@ -73,7 +73,7 @@ def test_dropout_is_bridged():
                 rows.append((a, a + 5000, a - b))
     rows.append((100, 200, 50))
     dicts = [{"a_start": a, "a_end": e, "lag": lag, "split": 0, "lag2": 0, "sim": 0.9, "ra": 0, "rb": 0} for a, e, lag in sorted(rows)]
-    out = search.bridge(dicts, 6000)
+    out = search.chains(dicts, 6000)
     whole = [r for r in out if r[1] - r[0] == 5000]
     assert len(whole) == 6 and len(out) == 7
     assert sorted(r[3] for r in whole) == [0, 0, 0, 72000, 72000, 72000]
