@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..kernels.axis import Axis
 from ..kernels.verify import SCORE, Bounds
@@ -21,7 +22,7 @@ SHIFT = 20
 SLACK, COARSE = 120, 5
 SAME_SHARE, SHORT, LEAST = 0.8, 160, 20
 EXTEND_SHARE, EXTEND_MAX, STEP = 0.9, 1200, 10
-SPOT_MIN, SPOT_MAX = 160, 2400
+SPOT_MIN = 160
 LOOK_BACK = 8
 GROUP = "gid long, run long, start long, end long"
 
@@ -175,26 +176,27 @@ def same_audio(spark: SparkSession, axis: Axis, groups: DataFrame, limits: Bound
 def extended(axis: Axis, groups: DataFrame, high: float) -> DataFrame:
     """Moves both edges of a group outwards by half a second at a time, while nine tenths of its other airings still agree with the reference.
 
-    No edge enters another group's spot-length airing, if that group has at least as many airings; of those
-    that begin before a step, the last LOOK_BACK count. All airings of a group move alike, at most a minute.
+    No edge enters an airing of another group of spots, if that group has at least as many airings. Of all spots'
+    airings that begin before a step's end, the last LOOK_BACK count: each knows the start of the one that many later
+    in its run, up to which it counts. All airings of a group move alike, at most a minute.
     """
     held = groups.sparkSession.sparkContext.broadcast(axis)
     refs = references(groups)
     reach = refs.select("gid", "n", (F.col("ref_start") - EXTEND_MAX).alias("lo"), (F.col("ref_end") + EXTEND_MAX).alias("hi"))
-    length = F.col("end") - F.col("start")
-    spots = groups.where(length.between(SPOT_MIN, SPOT_MAX)).join(sizes(groups).select("gid", F.col("n").alias("n_other")), "gid").select(F.col("gid").alias("other"), "n_other", F.col("start").alias("s"), F.col("end").alias("e"))
+    spots = groups.join(sizes(groups).where(F.col("med") >= SPOT_MIN).select("gid", F.col("n").alias("n_other")), "gid")
+    later = F.lead("start", LOOK_BACK).over(Window.partitionBy("run").orderBy("start", "end", "gid"))
+    spots = spots.withColumn("until", later).select(F.col("gid").alias("other"), "n_other", F.col("start").alias("s"), F.col("end").alias("e"), "until")
     near = range_join(reach, spots, ("lo", "hi"), ("s", "e"), 6000).where("gid <> other and n_other >= n")
-    guard = near.groupBy("gid").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("guard"))
+    guard = near.groupBy("gid").agg(F.collect_set(F.struct("s", "e", "until")).alias("guard"))
 
     def grow(rows: list[dict]):
         axis, r = held.value, rows[0]
         others = [x for x in rows if x["start"] != r["ref_start"]]
         need = math.floor(EXTEND_SHARE * len(others) + 0.999)
-        blocked = [(g["s"], g["e"]) for g in r["guard"] or []]
+        guard = [(g["s"], g["e"], g["until"]) for g in r["guard"] or []]
 
         def free(lo: int, hi: int) -> bool:
-            before = [g for g in blocked if g[0] < hi][-LOOK_BACK:]
-            return all(e <= lo for _, e in before)
+            return not any(s < hi and e > lo and (until is None or hi <= until) for s, e, until in guard)
 
         def agrees(lo: int, whole: int) -> bool:
             if lo < 0 or lo + STEP > axis.n or run_of(axis, lo) != run_of(axis, whole) or run_of(axis, lo + STEP - 1) != run_of(axis, whole) or not free(lo, lo + STEP):

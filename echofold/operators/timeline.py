@@ -69,17 +69,19 @@ def followed(airings: DataFrame, cluster: str, start: str, end: str, before: int
     return pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
 
 
-def accompanied(airings: DataFrame, key: str, cluster: str, start: str, end: str, slack: int) -> DataFrame:
+def accompanied(airings: DataFrame, key: str, cluster: str, start: str, end: str, slack: int, reach: int) -> DataFrame:
     """key of the airings beside which another cluster's airing ends, in (start - slack, start + slack], or starts, in [end - slack, end + slack].
 
-    Edges are counted by place and cluster first, so that a crowded second is a few rows; a semi-join then
-    meets edge and place in buckets as wide as the slack.
+    Only airings that start at most ``reach`` before this one count. Edges are gathered by place and cluster first, with
+    the latest start, so that a crowded second is a few rows; a semi-join then meets edge and place in buckets as wide
+    as the slack.
     """
     size = 2 * slack + 1
-    edges = airings.select(F.col(cluster).alias("c"), F.col(end).alias("at"), F.lit(0).alias("k")).union(airings.select(cluster, start, F.lit(1))).distinct()
-    edges = edges.withColumn("b", F.floor(F.col("at") / size))
-    want = airings.select(key, F.col(cluster).alias("own"), (F.col(start) - slack + 1).alias("lo"), (F.col(start) + slack).alias("hi"), F.lit(0).alias("kind"))
-    want = want.union(airings.select(key, cluster, F.col(end) - slack, F.col(end) + slack, F.lit(1)))
+    edges = airings.select(F.col(cluster).alias("c"), F.col(end).alias("at"), F.lit(0).alias("k"), F.col(start).alias("s")).union(airings.select(cluster, start, F.lit(1), start))
+    edges = edges.groupBy("c", "at", "k").agg(F.max("s").alias("s")).withColumn("b", F.floor(F.col("at") / size))
+    oldest = (F.col(start) - reach).alias("oldest")
+    want = airings.select(key, F.col(cluster).alias("own"), (F.col(start) - slack + 1).alias("lo"), (F.col(start) + slack).alias("hi"), F.lit(0).alias("kind"), oldest)
+    want = want.union(airings.select(key, cluster, F.col(end) - slack, F.col(end) + slack, F.lit(1), oldest))
     want = want.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))))
-    near = (F.col("bucket") == F.col("b")) & (F.col("kind") == F.col("k")) & (F.col("c") != F.col("own")) & F.col("at").between(F.col("lo"), F.col("hi"))
+    near = (F.col("bucket") == F.col("b")) & (F.col("kind") == F.col("k")) & (F.col("c") != F.col("own")) & F.col("at").between(F.col("lo"), F.col("hi")) & (F.col("s") >= F.col("oldest"))
     return want.join(edges, near, "left_semi").select(key).distinct()

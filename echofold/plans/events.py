@@ -82,13 +82,13 @@ SELECT user_id, n, top, round(top / n, 9) AS share, n >= 4 AND top >= 0.8 * n AS
 
 def company(spark, sf_dir):
     a = airings(spark, sf_dir)
-    met = timeline.accompanied(a, "event_id", "event_type", "s", "e", 2).withColumn("accompanied", F.lit(True))
+    met = timeline.accompanied(a, "event_id", "event_type", "s", "e", 2, 120).withColumn("accompanied", F.lit(True))
     return a.select("event_id").join(met, "event_id", "left").select("event_id", F.coalesce("accompanied", F.lit(False)).alias("accompanied"))
 
 
 COMPANY = f"""WITH {AIRINGS} SELECT event_id,
- EXISTS (SELECT 1 FROM a b WHERE b.event_type <> a.event_type AND b.e > a.s - 2 AND b.e <= a.s + 2)
- OR EXISTS (SELECT 1 FROM a b WHERE b.event_type <> a.event_type AND b.s BETWEEN a.e - 2 AND a.e + 2) AS accompanied FROM a"""
+ EXISTS (SELECT 1 FROM a b WHERE b.event_type <> a.event_type AND b.e > a.s - 2 AND b.e <= a.s + 2 AND b.s >= a.s - 120)
+ OR EXISTS (SELECT 1 FROM a b WHERE b.event_type <> a.event_type AND b.s BETWEEN a.e - 2 AND a.e + 2 AND b.s >= a.s - 120) AS accompanied FROM a"""
 
 
 def followed_pairs(spark, sf_dir):
@@ -222,7 +222,7 @@ def classify(spark, sf_dir):
     """The verdict ladder over (user, type) as cluster, a minute of the data as a second of the rule."""
     a = airings(spark, sf_dir).withColumn("cluster", F.concat_ws("/", F.col("user_id").cast("string"), "event_type")).withColumn("d", F.floor(F.col("d") / 60).cast("long"))
     units = a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), upper_median("d").cast("long").alias("d"))
-    near = timeline.accompanied(a, "event_id", "cluster", "s", "e", 2)
+    near = timeline.accompanied(a, "event_id", "cluster", "s", "e", 2, 120)
     met = a.join(near, "event_id", "left_semi").select("cluster").distinct().withColumn("accompanied", F.lit(True))
     rows = units.join(minute_counts(a, "cluster").select("cluster", "top"), "cluster").join(met, "cluster", "left")
     rows = rows.select("cluster", "n", "d", F.col("d").alias("unit"), "top", F.coalesce("accompanied", F.lit(False)).alias("accompanied"))
@@ -232,7 +232,7 @@ def classify(spark, sf_dir):
 CLASSIFY = f"""WITH {AIRINGS}, c AS (SELECT event_id, CAST(user_id AS VARCHAR) || '/' || event_type AS cluster, s, e, d // 60 AS d FROM a),
 u AS (SELECT cluster, count(*) AS n, list_sort(list(d))[len(list(d)) // 2 + 1] AS d FROM c GROUP BY ALL),
 m AS (SELECT cluster, max(k) AS top FROM (SELECT cluster, (s % 3600) // 60 AS minute, count(*) AS k FROM c GROUP BY ALL) GROUP BY ALL),
-w AS (SELECT DISTINCT cluster FROM c WHERE EXISTS (SELECT 1 FROM c b WHERE b.cluster <> c.cluster AND b.e > c.s - 2 AND b.e <= c.s + 2) OR EXISTS (SELECT 1 FROM c b WHERE b.cluster <> c.cluster AND b.s BETWEEN c.e - 2 AND c.e + 2))
+w AS (SELECT DISTINCT cluster FROM c WHERE EXISTS (SELECT 1 FROM c b WHERE b.cluster <> c.cluster AND b.e > c.s - 2 AND b.e <= c.s + 2 AND b.s >= c.s - 120) OR EXISTS (SELECT 1 FROM c b WHERE b.cluster <> c.cluster AND b.s BETWEEN c.e - 2 AND c.e + 2))
 SELECT u.cluster, u.n, u.d, NOT (u.d > 120 OR u.d < 8 OR (u.n >= 4 AND m.top >= 0.8 * u.n)) AS is_spot,
  CASE WHEN u.d > 120 THEN 'long unit' WHEN u.d < 8 THEN 'short' WHEN u.n >= 4 AND m.top >= 0.8 * u.n THEN 'hourly' WHEN w.cluster IS NOT NULL THEN 'accompanied' ELSE 'alone' END AS rule
 FROM u JOIN m ON u.cluster = m.cluster LEFT JOIN w ON u.cluster = w.cluster"""

@@ -6,6 +6,7 @@ axis of excerpts. Tables are written to the shared folder after decoding, matchi
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,8 +17,8 @@ from pyspark.sql.window import Window
 from ..functions import storage
 from ..functions.storage import shared_dir
 from ..kernels.axis import Axis, Span
-from ..kernels.descriptor import WINDOW
-from ..kernels.dsp import FPS
+from ..kernels.descriptor import STEP, TABLES, WINDOW
+from ..kernels.dsp import BANDS, FPS
 from ..operators import boundaries, chains, refine, timeline
 from ..operators.classify import ladder
 from ..operators.grouping import each
@@ -26,8 +27,10 @@ from ..operators.search import counters, find_matches
 from ..sources.audio import decoded
 from .options import NoInputs, Options
 
-UNIT_SHARE, UNIT_BEFORE, UNIT_AFTER, COMPANY = 0.8, 1_000_000, 5_000_000, 2_000_000
+UNIT_SHARE, UNIT_BEFORE, UNIT_AFTER, COMPANY, COMPANY_REACH = 0.8, 1_000_000, 5_000_000, 2_000_000, 120_000_000
 TOLERANCE = 1_000_000
+#: Bytes of an index row: table, hash and place.
+INDEX_ENTRY = 16
 
 
 @dataclass
@@ -77,6 +80,7 @@ def mine(spark: SparkSession, inputs: DataFrame, options: Options | None = None,
     progress, if given, is called with a stage's name when it is done, the number of stages done, and of all.
     """
     options = options or Options()
+    began = time.time()
     folder = shared_dir(spark, "frames")
     files = storage.written(decoded(inputs, folder, options.timeout), "decoded")
     skipped = files.where("error is not null").select("path", F.col("error").alias("reason"))
@@ -86,11 +90,14 @@ def mine(spark: SparkSession, inputs: DataFrame, options: Options | None = None,
     axis = lay(folder, rows)
     if progress:
         progress("decode", 1, len(STAGES))
-    return mine_axis(spark, axis, options, skipped, progress)
+    out = mine_axis(spark, axis, options, skipped, progress)
+    out.stats["seconds"] = time.time() - began
+    return out
 
 
 def mine_axis(spark: SparkSession, axis: Axis, options: Options, skipped: DataFrame | None = None, progress: Progress | None = None) -> Mined:
     """The run over an axis that is laid already."""
+    began = time.time()
     limits, excerpts, counts = options.bounds(), options.bounds(0), counters(spark)
     done = 1
 
@@ -119,6 +126,8 @@ def mine_axis(spark: SparkSession, axis: Axis, options: Options, skipped: DataFr
     clusters = written(classified(occurrences, options.zone), "clusters")
     skipped = skipped if skipped is not None else spark.createDataFrame([], "path string, reason string")
     stats = {"files": len({s.path for s in axis.spans}), "audio_sec": axis.n / FPS, "frames": axis.n, "windows": max(0, axis.n - WINDOW + 1), "seeds": counts["seeds"].value, "verified": counts["verified"].value, "matches": found.count(), "clusters": clusters.count(), "skipped": skipped.count()}
+    windows = stats["windows"]
+    stats |= {"feature_bytes": axis.n * BANDS, "index_bytes": windows // STEP * TABLES * INDEX_ENTRY, "seconds": time.time() - began}
     return Mined(axis, found, clusters, occurrences, skipped, stats)
 
 
@@ -139,12 +148,12 @@ def emitted(axis: Axis, groups: DataFrame) -> DataFrame:
 
 
 def classified(occurrences: DataFrame, zone: str = "UTC") -> DataFrame:
-    """One row a cluster: n, duration, unit (seconds), pieces, top (airings in its commonest minute), accompanied, rule, is_spot."""
+    """One row a cluster: n, duration, unit (seconds), pieces, top (airings in its commonest minute), accompanied, n_beside (airings beside others), rule, is_spot."""
     o = occurrences.withColumn("occ", F.struct("cluster_id", "start_us", "frame"))
     base = o.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.max("duration").alias("duration"), F.min("start_us").alias("first_us"))
     minute = F.minute(F.from_utc_timestamp(F.timestamp_micros("start_us"), zone))
     top = o.groupBy("cluster_id", minute.alias("m")).agg(F.count(F.lit(1)).alias("k")).groupBy("cluster_id").agg(F.max("k").alias("top"))
-    near = timeline.accompanied(o, "occ", "cluster_id", "start_us", "end_us", COMPANY).select("occ.cluster_id").distinct().withColumn("accompanied", F.lit(True))
+    near = timeline.accompanied(o, "occ", "cluster_id", "start_us", "end_us", COMPANY, COMPANY_REACH).groupBy("occ.cluster_id").agg(F.count(F.lit(1)).alias("n_beside"))
     t = timeline.followed(o, "cluster_id", "start_us", "end_us", UNIT_BEFORE, UNIT_AFTER)
     t = t.join(base.select(F.col("cluster_id").alias("i"), F.col("n").alias("ni")), "i").join(base.select(F.col("cluster_id").alias("j"), F.col("n").alias("nj")), "j")
     joined = t.where((F.col("n") >= UNIT_SHARE * F.col("ni")) & (F.col("n") >= UNIT_SHARE * F.col("nj")))
@@ -152,5 +161,6 @@ def classified(occurrences: DataFrame, zone: str = "UTC") -> DataFrame:
     rows = base.join(parts, "cluster_id", "left").withColumn("component", F.coalesce("component", "cluster_id"))
     units = rows.groupBy("component").agg(F.sum("duration").alias("unit"), F.count(F.lit(1)).alias("pieces"))
     rows = rows.join(units, "component").join(top, "cluster_id").join(near, "cluster_id", "left")
-    out = ladder(rows.withColumn("accompanied", F.coalesce("accompanied", F.lit(False))).withColumn("d", F.col("duration")))
-    return out.select("cluster_id", "n", "duration", "first_us", "unit", "pieces", "top", "accompanied", "rule", "is_spot")
+    beside = F.coalesce("n_beside", F.lit(0).cast("long"))
+    out = ladder(rows.withColumn("n_beside", beside).withColumn("accompanied", F.col("n_beside") > 0).withColumn("d", F.col("duration")))
+    return out.select("cluster_id", "n", "duration", "first_us", "unit", "pieces", "top", "accompanied", "n_beside", "rule", "is_spot")
