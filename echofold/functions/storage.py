@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is absent (tests on one machine), a folder of the session's own is set."""
+    """spark.checkpoint.dir; where it is absent, a session on one machine gets a folder of its own, any other an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -16,6 +16,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     root = f"file:///tmp/checkpoints/{sc.applicationId}"
     sc.setCheckpointDir(root)
     return root

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed patterns: a time in a file name, as date, hour, minute, second and fraction.
-NAME_PATTERNS = (
-    r"^(?<date>\d{4}-\d{2}-\d{2})[-_T](?<hh>\d{2})[-:](?<mm>\d{2})[-:](?<ss>\d{2})(?:[.,](?<frac>\d{1,9}))?(?:[_.].*)?$",
-)
+#: Fixed patterns: a time at the beginning of a file's name, as date, hour, minute, second and fraction, before an
+#: underscore or the extension.
+STAMP = r"^(?<date>\d{4}-\d{2}-\d{2})[-_T](?<hh>\d{2})[-:](?<mm>\d{2})[-:](?<ss>\d{2})(?:[.,](?<frac>\d{1,9}))?"
+NAME_PATTERNS = (STAMP + r"_.*$", STAMP + r"\.[A-Za-z0-9]+$")
 #: Fixed layouts of a time text, in the order in which they are tried.
 LAYOUTS = (
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX",

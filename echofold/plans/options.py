@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from ..kernels.dsp import FPS
 from ..kernels.verify import Bounds
@@ -22,7 +22,7 @@ class BadOptions(MiningError):
 
 @dataclass(frozen=True)
 class Options:
-    """Lengths in seconds. min_lag may be 0 for a join of excerpts; union_coverage is checked and has no effect."""
+    """Lengths in seconds. Zero stands for the default; union_coverage is checked and has no effect."""
 
     min_repeat: float = 3.0
     max_repeat: float = 300.0
@@ -38,6 +38,11 @@ class Options:
     representatives: bool = True
 
     def __post_init__(self):
+        for f in fields(self):
+            if f.name != "representatives" and not getattr(self, f.name):
+                object.__setattr__(self, f.name, f.default)
+        if self.timeout < 0:
+            object.__setattr__(self, "timeout", type(self).timeout)
         wrong = [
             (self.min_lag < 0, "min_lag is negative"),
             (self.min_repeat <= 0 or self.min_repeat >= self.max_repeat, "min_repeat must be positive and below max_repeat"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import resource
 import wave
 from collections.abc import Iterator
 
@@ -15,12 +16,12 @@ from pyspark.sql import functions as F
 from .mine import Mined
 
 REASONS = {
-    "long unit": "airs within a unit of {unit:.1f}s, too long for a spot",
+    "long unit": "{duration:.1f}s, one of {pieces} pieces that air as a unit of {unit:.0f}s, too long for a spot",
     "short": "{duration:.1f}s, too short for a spot",
     "long": "{duration:.1f}s, too long for a spot",
     "hourly": "airs {top} of {n} times at one minute of the hour",
-    "accompanied": "{duration:.1f}s, airs beside others",
-    "alone": "{duration:.1f}s, airs alone",
+    "accompanied": "{duration:.1f}s, {n_beside} of {n} airings beside others",
+    "alone": "{duration:.1f}s, all {n} airings alone",
 }
 
 
@@ -71,6 +72,7 @@ def result(mined: Mined, cuts: dict[int, str] | None = None) -> dict:
     ]
     skipped = [{"Path": r["path"], "Reason": r["reason"]} for r in mined.skipped.orderBy("path").toLocalIterator()]
     stats = {"Files": mined.stats["files"], "AudioSec": mined.stats["audio_sec"], "Frames": mined.stats["frames"], "Windows": mined.stats["windows"], "SeedPairs": mined.stats["seeds"], "VerifiedPairs": mined.stats["verified"], "Matches": mined.stats["matches"]}
+    stats |= {"PeakRSSBytes": peak_bytes(), "FeatureBytes": mined.stats["feature_bytes"], "IndexBytes": mined.stats["index_bytes"], "WallSec": mined.stats["seconds"]}
     return {"Clusters": clusters, "Skipped": skipped, "Warnings": mined.stats.get("warnings", []), "Stats": stats}
 
 
@@ -93,12 +95,14 @@ def report(mined: Mined) -> str:
     return "\n".join(out) + "\n"
 
 
-def summary(mined: Mined) -> str:
-    import resource
+def peak_bytes() -> int:
+    """The driver's peak of resident memory."""
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+
 
+def summary(mined: Mined) -> str:
     c = mined.clusters.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_spot").alias("spots"), F.sum(F.when(F.col("is_spot"), F.col("n")).otherwise(0)).alias("airings")).first()
-    rss = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
-    lines = [f"{mined.stats['files']} files, {mined.stats['audio_sec'] / 3600:.2f} h", f"{c.n} clusters, {c.spots} spots with {c.airings or 0} airings", f"driver peak {rss:.0f} MB"]
+    lines = [f"{mined.stats['files']} files, {mined.stats['audio_sec'] / 3600:.2f} h", f"{c.n} clusters, {c.spots} spots with {c.airings or 0} airings", f"driver peak {peak_bytes() >> 20} MB"]
     lines += [f"skipped {r['path']}: {r['reason']}" for r in mined.skipped.orderBy("path").toLocalIterator()]
     return "\n".join(lines + mined.stats.get("warnings", [])) + "\n"
 

@@ -101,8 +101,9 @@ def test_excerpts_have_breaks():
     assert e.breaks.tolist() == [20]
 
 
-@pytest.mark.parametrize("wrong", [{"min_repeat": 400}, {"sim_high": 0.3, "sim_low": 0.5}, {"min_lag": -1}, {"sim_high": 1.5}, {"union_coverage": 0}])
+@pytest.mark.parametrize("wrong", [{"min_repeat": 400}, {"sim_high": 0.3, "sim_low": 0.5}, {"min_lag": -1}, {"sim_high": 1.5}, {"union_coverage": 1.5}])
 def test_options(wrong):
     with pytest.raises(BadOptions):
         Options(**wrong)
     assert Options().min_len == 55 and Options().bounds(0).min_lag == 0
+    assert Options(min_lag=0, seed=0, union_coverage=0) == Options()
