@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents, events, tables, vectors
+from . import documents, events, mining, tables, vectors
 
 FLAGSHIP = "doc_repeat_clusters"
-MODULES = (events, documents, vectors, tables)
+MODULES = (events, documents, vectors, tables, mining)
 
 
 def queries() -> dict:
