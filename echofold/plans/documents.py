@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.storage import written
 from ..operators import passages as ps
 from ..operators import timeline
-from ..operators.relational import connected_components
+from ..operators.relational import connected_components, islands
 
 LONG = 20
 
@@ -91,26 +91,49 @@ def linked(spark, sf_dir) -> DataFrame:
     return matches(spark, sf_dir).where(F.col("len") >= LONG)
 
 
+def long_windows(spark, sf_dir) -> DataFrame:
+    """doc, pos, head: the places of windows of LONG tokens that two documents or more hold, with the smallest such document.
+
+    Two documents share a passage of LONG tokens exactly if they share such a window. Every document of a window meets
+    its smallest one only, so that a passage of any number of copies costs as much as it has places; no window is left out.
+    """
+    w = ps.windows(docs(spark, sf_dir), "doc_id", size=LONG)
+    shared = w.groupBy("h1", "h2").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").select("h1", "h2", "head")
+    return w.join(shared, ["h1", "h2"]).select("doc", "pos", "head")
+
+
+def links(places: DataFrame) -> DataFrame:
+    return connected_components(places.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct())
+
+
 def doc_components(spark, sf_dir):
-    return connected_components(linked(spark, sf_dir).select("a", "b")).select(F.col("node").alias("doc_id"), F.col("component").alias("root"))
+    return links(long_windows(spark, sf_dir)).select(F.col("node").alias("doc_id"), F.col("component").alias("root"))
 
 
-COMPONENTS = f"""WITH RECURSIVE {MATCHES}, e AS (SELECT DISTINCT a, b FROM m WHERE len >= {LONG}), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+PLACES = f"""{TOKENS}, lu AS (SELECT doc_id AS doc, unnest(range(len(w) - {LONG - 1})) AS pos, w FROM t WHERE len(w) >= {LONG}),
+lw AS (SELECT doc, pos, md5(array_to_string(w[pos + 1 : pos + {LONG}], ' ')) AS h FROM lu), lk AS (SELECT h, min(doc) AS head FROM lw GROUP BY h HAVING min(doc) < max(doc)),
+lp AS (SELECT doc, pos, head FROM lw JOIN lk ON lw.h = lk.h)"""
+COMPONENTS = f"""WITH RECURSIVE {PLACES}, e AS (SELECT DISTINCT head AS a, doc AS b FROM lp WHERE doc <> head), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(n, z) AS (SELECT DISTINCT a, a FROM g UNION SELECT r.n, g.b FROM r JOIN g ON g.a = r.z), c AS (SELECT n, min(z) AS root FROM r GROUP BY n)"""
 
 
 def repeat_clusters(spark, sf_dir):
-    """Flagship: clusters of documents that share long passages, with the passages' number and lengths."""
-    m = written(linked(spark, sf_dir), "matches")  # read by the components and by the sums
-    c = connected_components(m.select("a", "b"))
+    """Flagship: clusters of documents that share long passages, with the number and lengths of the stretches that are shared."""
+    places = written(long_windows(spark, sf_dir), "places")  # read by the components and by the stretches
+    c = links(places)
     size = c.groupBy("component").agg(F.count(F.lit(1)).alias("n_docs"))
-    sums = m.join(c, m["a"] == c["node"]).groupBy("component").agg(F.count(F.lit(1)).alias("n_matches"), F.sum("len").alias("total_len"), F.max("len").alias("max_len"))
+    found = islands(places.select("doc", "pos", (F.col("pos") + LONG).alias("end")), "pos", "end", ["doc"])
+    stretches = found.groupBy("doc", "island").agg((F.max("end") - F.min("pos")).alias("len"))
+    sums = stretches.join(c, stretches["doc"] == c["node"]).groupBy("component").agg(F.count(F.lit(1)).alias("n_stretches"), F.sum("len").alias("total_len"), F.max("len").alias("max_len"))
     return size.join(sums, "component").withColumnRenamed("component", "root")
 
 
-CLUSTERS = f"""{COMPONENTS}, s AS (SELECT root, count(*) AS n_docs FROM c GROUP BY ALL)
-SELECT s.root, n_docs, count(*) AS n_matches, CAST(sum(len) AS BIGINT) AS total_len, max(len) AS max_len
-FROM m JOIN c ON c.n = m.a JOIN s ON s.root = c.root WHERE len >= {LONG} GROUP BY ALL"""
+CLUSTERS = f"""{COMPONENTS}, s AS (SELECT root, count(*) AS n_docs FROM c GROUP BY ALL),
+le AS (SELECT doc, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc ORDER BY pos) + {LONG} THEN 0 ELSE 1 END AS fresh FROM lp),
+li AS (SELECT doc, pos, sum(fresh) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM le),
+ll AS (SELECT doc, max(pos) + {LONG} - min(pos) AS len FROM li GROUP BY doc, island)
+SELECT s.root, n_docs, count(*) AS n_stretches, CAST(sum(len) AS BIGINT) AS total_len, max(len) AS max_len
+FROM ll JOIN c ON c.n = ll.doc JOIN s ON s.root = c.root GROUP BY ALL"""
 
 
 def same_text_share(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import vectors as vx
 from ..kernels.dsp import int8
 
-TABLES, BITS, DIMS, CAP = 8, 8, 64, 256
+TABLES, BITS, DIMS, REACH = 8, 20, 64, 256
 
 
 def vecs(spark, sf_dir) -> DataFrame:
@@ -50,7 +51,7 @@ SELECT e.vec_id, round(sqrt(list_sum(list_transform(list_zip(embedding, q.q), la
 def planes() -> np.ndarray:
     """Integer planes (tables, bits, dimensions) by a formula."""
     t, b, i = np.ogrid[:TABLES, :BITS, :DIMS]
-    return (i * 7 + b * 13 + t * 31 + i * b * 5 + i * i * (t + 1)) % 11 - 5
+    return (i * 7 + b * 13 + t * 31 + i * b * 5 + i * i * (t + 1)) % 23 - 11
 
 
 def hashes(spark, sf_dir) -> DataFrame:
@@ -74,16 +75,25 @@ def signatures(spark, sf_dir):
 
 
 HASHES = f"""q AS (SELECT vec_id, {Q} AS q FROM embeddings), tt AS (SELECT unnest(range({TABLES})) AS tbl), bb AS (SELECT unnest(range({BITS})) AS bit), ii AS (SELECT unnest(range({DIMS})) AS i),
-pl AS (SELECT tbl, bit, list((((i * 7 + bit * 13 + tbl * 31 + i * bit * 5 + i * i * (tbl + 1)) % 11) - 5)::INT ORDER BY i) AS p FROM tt, bb, ii GROUP BY ALL),
+pl AS (SELECT tbl, bit, list((((i * 7 + bit * 13 + tbl * 31 + i * bit * 5 + i * i * (tbl + 1)) % 23) - 11)::INT ORDER BY i) AS p FROM tt, bb, ii GROUP BY ALL),
 hb AS (SELECT vec_id, tbl, bit, list_sum(list_transform(list_zip(q, p), lambda z: z[1] * z[2])) AS s FROM q, pl),
-hh AS (SELECT vec_id, tbl, CAST(sum(CASE WHEN s >= 0 THEN 1 << bit ELSE 0 END) AS BIGINT) AS hash FROM hb GROUP BY ALL)"""
-
-
-def candidates(h: DataFrame, cap: int = CAP) -> DataFrame:
-    """a < b that share a bucket of at most cap vectors in some table."""
-    fit = h.groupBy("tbl", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, cap)).select("tbl", "hash")
-    kept = h.join(fit, ["tbl", "hash"])
-    pairs = kept.withColumnRenamed("vec_id", "a").join(kept.withColumnRenamed("vec_id", "b"), ["tbl", "hash"]).where("a < b")
+hh AS (SELECT vec_id, tbl, CAST(sum(CASE WHEN s >= 0 THEN 1::BIGINT << bit ELSE 0 END) AS BIGINT) AS hash FROM hb GROUP BY ALL)"""
+
+
+def candidates(h: DataFrame, reach: int = REACH) -> DataFrame:
+    """a < b that share a bucket in some table, at most reach places apart in its order of ids.
+
+    Buckets are told apart by as many bits as keep some sixteen vectors in one on average, so they do not grow with the
+    table. None is left out: in one of up to reach + 1 vectors all pairs meet; in a larger one, each vector meets the
+    next ones, by an equi-join of stretches of reach places with themselves and those before.
+    """
+    n = h.where("tbl = 0").count()
+    bits = min(BITS, max(6, math.ceil(math.log2(max(n, 1))) - 4))
+    w = Window.partitionBy("tbl", "bucket").orderBy("vec_id")
+    rows = h.withColumn("bucket", F.col("hash") % (1 << bits)).withColumn("k", F.row_number().over(w) - 1).withColumn("part", F.floor(F.col("k") / reach))
+    left = rows.select("tbl", "bucket", "part", F.col("vec_id").alias("a"), F.col("k").alias("ka"))
+    right = rows.select("tbl", "bucket", F.explode(F.array("part", F.col("part") - 1)).alias("part"), F.col("vec_id").alias("b"), F.col("k").alias("kb"))
+    pairs = left.join(right, ["tbl", "bucket", "part"]).where((F.col("ka") < F.col("kb")) & (F.col("kb") <= F.col("ka") + reach))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_tables"))
 
 
@@ -92,8 +102,9 @@ def lsh_candidates(spark, sf_dir):
     return c.groupBy("n_tables").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("b") - F.col("a")).alias("sum_gap"))
 
 
-CANDIDATES = f"""{HASHES}, hk AS (SELECT tbl, hash FROM hh GROUP BY ALL HAVING count(*) BETWEEN 2 AND {CAP}), hj AS (SELECT hh.* FROM hh JOIN hk ON hh.tbl = hk.tbl AND hh.hash = hk.hash),
-cc AS (SELECT x.vec_id AS a, y.vec_id AS b, count(*) AS n_tables FROM hj x JOIN hj y ON x.tbl = y.tbl AND x.hash = y.hash AND x.vec_id < y.vec_id GROUP BY ALL)"""
+CANDIDATES = f"""{HASHES}, hb2 AS (SELECT least({BITS}, greatest(6, CAST(ceil(log2(greatest(count(*), 1))) AS BIGINT) - 4)) AS bits FROM hh WHERE tbl = 0),
+hj AS (SELECT vec_id, tbl, hash % (1 << bits) AS bucket, row_number() OVER (PARTITION BY tbl, hash % (1 << bits) ORDER BY vec_id) AS k FROM hh, hb2),
+cc AS (SELECT x.vec_id AS a, y.vec_id AS b, count(*) AS n_tables FROM hj x JOIN hj y ON x.tbl = y.tbl AND x.bucket = y.bucket AND x.k < y.k AND y.k <= x.k + {REACH} GROUP BY ALL)"""
 
 
 def cosine_topk(spark, sf_dir):
