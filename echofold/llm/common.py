@@ -45,14 +45,19 @@ def released(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return whole
 
 
+def give_back() -> None:
+    """Memory that was freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name beginning with base that df does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, small_batches
+from .common import give_back, released, small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "iban", "document")
@@ -319,13 +319,16 @@ def trained(rounds: int = 70) -> Field:
             g = 0.02 * w
             np.add.at(g, f, d[t, c])
             grads.append(g)
-        pair = np.exp(a[:-1][:, :, :, None] + step + (e[1:] + b[1:])[:, :, None, :] - z[:, None, None]) * live[1:][:, :, None, None]
+        pair = np.zeros((m, m))
+        for t in range(1, length):
+            pair += (np.exp(a[t - 1][:, :, None] + step + (e[t] + b[t])[:, None, :] - z[:, None, None]) * live[t][:, None, None]).sum(0)
         seen = np.einsum("tni,tnj->ij", one[:-1] * live[1:][:, :, None], one[1:])
-        grads += [np.where(BARRED, 0, pair.sum((0, 1)) - seen) + 0.02 * x[3], d[0].sum(0) + 0.02 * x[4]]
+        grads += [np.where(BARRED, 0, pair - seen) + 0.02 * x[3], d[0].sum(0) + 0.02 * x[4]]
         for w, g, (u, v) in zip(x, grads, state, strict=True):
             u += 0.1 * (g - u)
             v += 0.01 * (g * g - v)
             w -= 0.15 * (u / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
+    give_back()
     return Field(names, *x)
 
 

@@ -8,7 +8,7 @@ ids), over all buckets:
 1. ``w`` by proximal Adam on the class-balanced logistic loss. The L1 penalty of a term grows with the
    standard deviation of its presence, as a lasso on standardised columns has it; no term is left out.
 2. Interactions start where the loss still has a gradient: for two terms, the residual of the texts with both
-   is compared with that of the texts with either. Pairs that stand out by PAIR_Z standard errors get factors,
+   is compared with that of the texts with either. Pairs that stand out by PAIR_Z standard errors, and whose texts are misjudged by PAIR_EFFECT, get factors,
    whatever the two terms tell by themselves. The terms looked at are the ``PAIR_TERMS`` that most toxic texts
    of the sample have, a bound on the driver's memory.
 3. ``w`` and ``v`` are fitted together, ``v`` with an L2 penalty.
@@ -25,16 +25,17 @@ of both classes every score is 0 (to 13 digits). Extra columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_words, crc_mod, free_name, released, small_batches, utf8_values
+from .common import byte_words, crc_mod, free_name, give_back, released, small_batches, utf8_values
 
 HASH_BITS = 18
 #: Bytes of the beginnings of words that count as terms beside the words, so that inflected forms share a term.
@@ -44,9 +45,11 @@ RANK = 8
 THRESHOLD = 0.7
 PAIR_TERMS = 4096
 PAIR_Z = 5.0
+#: A pair's texts must be misjudged by so much on average, of 1.
+PAIR_EFFECT = 0.25
 #: Texts that a pair must share with some weight before it stands out; also smooths a term's share of the texts.
 PAIR_LEAST = 8
-ROUNDS, PAIR_ROUNDS, RATE = 80, 60, 0.1
+ROUNDS, PAIR_ROUNDS, RATE = 160, 60, 0.1
 #: Where in the gap between the classes of the sample the threshold lies, from the clean side.
 GAP_SHARE = 0.4
 #: Penalties in standard errors of a term's or a pair's gradient.
@@ -123,14 +126,20 @@ class Adam:
 class Texts:
     """The terms of all texts, one after another, worked through in slices of about SLICE terms."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.size = np.array([len(r) for r in rows])
-        self.flat = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32, copy=False)
+    def __init__(self, rows: Iterable[np.ndarray]):
+        self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        parts = list(rows)
+        if parts:
+            self.size, self.flat = np.array([len(r) for r in parts]), np.concatenate(parts).astype(np.int32, copy=False)
+        rows = parts
         end = np.cumsum(self.size)
         cut = np.unique(np.searchsorted(end, np.arange(SLICE, self.flat.size + SLICE, SLICE), "right"))
         edges = np.unique(np.concatenate([[0], cut, [len(rows)]]))
         self.parts = [(i, j, end[i] - self.size[i], end[j - 1]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
+    def rows(self) -> list[np.ndarray]:
+        return np.split(self.flat, np.cumsum(self.size)[:-1]) if len(self.size) else []
+
     def sums(self, w: np.ndarray) -> np.ndarray:
         """The sum of w over each text's terms."""
         return np.concatenate([sums(w[self.flat[a:b]], self.size[i:j]) for i, j, a, b in self.parts])
@@ -153,10 +162,11 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def pairs(texts: Texts, y: np.ndarray, g: np.ndarray, bits: int, seed: int) -> list[tuple[float, int, int]]:
+def pairs(texts: Texts, y: np.ndarray, g: np.ndarray, by: np.ndarray, bits: int, seed: int) -> list[tuple[float, int, int]]:
     """(standard errors, term, term) of the pairs whose texts' residuals g differ from those of either term's texts.
 
-    Toxic texts are compared with at most twice as many others, drawn at random, which stand for all others.
+    by: the texts' weights, which g holds as a factor. A pair counts if its texts are misjudged by PAIR_EFFECT on
+    average and differ by PAIR_Z standard errors from each term's. Toxic texts are compared with at most twice as many others, drawn at random, which stand for all others.
     """
     n = 1 << bits
     toxic, other = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
@@ -175,7 +185,7 @@ def pairs(texts: Texts, y: np.ndarray, g: np.ndarray, bits: int, seed: int) -> l
     for at, of in texts.only(mask):
         live = scale[at] > 0
         x[place[at[live]], column[of[live]]] = 1
-    first, second = ((g * scale)[rows].astype(np.float32), (g * g * scale * scale)[rows].astype(np.float32))
+    first, second, size = (v[rows].astype(np.float32) for v in (g * scale, g * g * scale * scale, by * scale))
     one, var = first @ x, np.maximum(second @ x, 1e-30)
     floor = PAIR_LEAST * float(second.mean())
     out = []
@@ -186,18 +196,19 @@ def pairs(texts: Texts, y: np.ndarray, g: np.ndarray, bits: int, seed: int) -> l
         for share, alone in ((weight / var[s, None], one[s, None]), (weight / var[None, k:], one[None, k:])):
             t = (share * alone - both) / np.sqrt(weight * np.maximum(1 - share, 0) + floor)
             z = t if z is None else np.where(z * t <= 0, 0, np.where(np.abs(z) < np.abs(t), z, t))
-        i, j = np.nonzero(np.triu(np.abs(z), 1) >= PAIR_Z)
+        strong = np.abs(both) >= PAIR_EFFECT * np.maximum((a * size[:, None]).T @ x[:, k:], 1e-30)
+        i, j = np.nonzero(np.triu((np.abs(z) >= PAIR_Z) & strong, 1))
         out += [(float(z[p, q]), int(term[k + p]), int(term[k + q])) for p, q in zip(i, j, strict=True)]
     return out
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = HASH_BITS, rank: int = RANK, seed: int = 7) -> Machine:
+def fit(rows: list[np.ndarray] | Texts, y: np.ndarray, bits: int = HASH_BITS, rank: int = RANK, seed: int = 7) -> Machine:
     """The machine of all buckets, see above; buckets without weight and factors share its row of zeros."""
     y, n = y.astype(np.float64), 1 << bits
     slot = np.zeros(n, np.int32)
     if not len(y) or y.min() == y.max():
         return Machine(slot, np.zeros(1), np.zeros((1, rank)), 0.0, 1.0, 100.0, bits)
-    texts = Texts(rows)
+    texts = rows if isinstance(rows, Texts) else Texts(rows)
     n1, n0 = y.sum(), len(y) - y.sum()
     weight = np.where(y > 0, 0.5 / n1, 0.5 / n0)
     share = (texts.by_term(np.ones(len(y)), n) + PAIR_LEAST) / (len(y) + 2 * PAIR_LEAST)
@@ -211,7 +222,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = HASH_BITS, rank: int
         w.step(texts.by_term(g, n))
         b.step(np.array([g.sum()]))
         z = texts.sums(w.x) + b.x[0]
-    found = pairs(texts, y, residual(z), bits, seed)
+    found = pairs(texts, y, residual(z), weight, bits, seed)
     # from here on the terms that have weight or a pair
     chosen = np.flatnonzero(w.x)
     chosen = np.unique(np.concatenate([chosen, np.array([t for _, *p in found for t in p], np.int64)]))
@@ -252,7 +263,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = HASH_BITS, rank: int
     w.x[0] = 0
     v[factors] = f.x
     out = Machine(slot, w.x, v, float(b.x[0]), 1.0, 0.0, bits)
-    z = out.logits(rows)
+    z = out.logits(texts.rows())
     # the threshold: in the gap of the cut with the best F1 in the sample
     order = np.argsort(-z, kind="stable")
     tp = np.cumsum(y[order])
@@ -286,8 +297,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sampl
 
     terms_of = rows.withColumn("toxic", F.col("toxic").cast("int")).mapInArrow(released(hashed), "doc_id long, toxic int, data binary")
     # one row a sampled id, however often it repeats and whatever its texts
-    table = terms_of.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("data").alias("data")).toArrow().sort_by("doc_id")
-    return fit([np.frombuffer(d.as_buffer(), np.int32) for d in table["data"]], np.array(table["toxic"].to_pylist(), np.int64) > 0, bits)
+    table = terms_of.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("data").alias("data")).toArrow()
+    order = pc.sort_indices(table["doc_id"]).to_pylist()
+    y = np.array(table["toxic"].to_pylist(), np.int64)[order] > 0
+    texts = Texts(np.frombuffer(table["data"][k].as_buffer(), np.int32) for k in order)
+    del table  # the texts are copies
+    out = fit(texts, y, bits)
+    del texts
+    give_back()
+    return out
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:

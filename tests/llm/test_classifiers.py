@@ -52,6 +52,27 @@ def test_machine_learns_pairs_without_marginal_signal():
     assert (got == y)[has].mean() > 0.95 and got[has & (y == 1)].mean() > 0.9 and (got == y).mean() > 0.98
 
 
+def test_machine_learns_what_weights_cannot():
+    """Either word alone is toxic, both together are not."""
+
+    def draw(seed):
+        rng = random.Random(seed)
+        out = []
+        for _ in range(2500):
+            u = rng.random()
+            extra = ["left"] if u < 0.08 else ["right"] if u < 0.16 else ["left", "right"] if u < 0.32 else []
+            words = [f"w{int(800 * rng.random() ** 2)}" for _ in range(40)] + extra
+            out.append((toxicity.terms(" ".join(words).encode()), len(extra) == 1, bool(extra)))
+        rows, y, has = zip(*out, strict=True)
+        return list(rows), np.array(y), np.array(has)
+
+    rows, y, _ = draw(1)
+    m = toxicity.fit(rows, y)
+    assert m.v.any()
+    rows, y, has = draw(2)
+    assert ((m.score(rows) >= 0.7) == y)[has].mean() > 0.95
+
+
 def test_sliced_sums():
     rng = np.random.default_rng(4)
     rows = [np.sort(rng.permutation(50)[: rng.integers(0, 30)]).astype(np.int32) for _ in range(40)]
@@ -74,7 +95,7 @@ def test_repeated_ids_are_sampled_once(spark):
     docs = docs.unionByName(spark.range(2, 40).selectExpr("id as doc_id", "if(id % 2 = 0, 'fine words', 'vile words') as text"))
     labels = spark.range(1, 40).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
     sizes = []
-    whole, toxicity.fit = toxicity.fit, lambda rows, y, bits: sizes.append((len(rows), int(y.sum()))) or whole(rows, y, bits)
+    whole, toxicity.fit = toxicity.fit, lambda rows, y, bits: sizes.append((len(rows.size), int(y.sum()))) or whole(rows, y, bits)
     try:
         toxicity.train(docs, labels, sample=30)
     finally:
