@@ -140,15 +140,14 @@ v AS (
               WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
               WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
               WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
-         list_filter(['adult', 'betting', 'casino', 'escort', 'malware', 'phishing', 'porn', 'spam', 'torrent', 'viagra', 'warez', 'xxx'],
-                  lambda w: regexp_matches(host || path, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)')) AS ws
+         list_transform(list_filter(@RULES@, lambda r: regexp_matches(host || path, r.p)), lambda r: r.n) AS ws
   FROM u)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN len(ws) > 0 THEN 'block' ELSE 'allow' END AS verdict,
        CASE WHEN rule IS NULL AND len(ws) > 0 THEN list_reverse_sort(list_transform(ws, lambda w: {'n': len(w), 'w': w}))[1].w END AS method_rule
 FROM v
-"""
+""".replace("@RULES@", "[" + ", ".join(f"{{'n': '{r.name}', 'p': '{r.pattern}'}}" for r in urlrules.METHOD) + "]")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -25,7 +25,7 @@ def brute(url):
 
 def test_url_rules(spark):
     df = spark.createDataFrame([(k, u, "own") for k, u in enumerate(URLS)], "page_id long, url string, Verdict string")
-    got = {inline: sorted(map(tuple, urlrules.judge(df, urlrules.SITES + urlrules.WORDS, inline=inline).collect())) for inline in (True, False)}
+    got = {inline: sorted(map(tuple, urlrules.judge(df, urlrules.SITES + urlrules.METHOD, inline=inline).collect())) for inline in (True, False)}
     assert got[True] == got[False]
     for k, url, host, path, rule, verdict, method in got[True]:
         want = brute(URLS[k])
@@ -35,6 +35,29 @@ def test_url_rules(spark):
     assert urlrules.judge(df.limit(0), urlrules.SITES).collect() == []
 
 
+def test_method_rules(spark):
+    cases = {
+        "http://b.org/login": "/login/", "http://b.org/a/wp-login.php": "/wp-login.php/", "http://b.org/loginpage": None, "http://b.org/x/photo.jpg": ".jpg", "http://b.org/x.jpg/y": None,
+        "http://10.0.0.1/x": "numeric host", "http://b.org/calendar/2024/1/31": "calendar day", "http://b.org/a;jsessionid=1": "session id", "http://b.org/casino/x.exe": "casino", "http://www.b.com/login": None,
+        "http://b.org/text.html": None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    for inline in (True, False):
+        got = {r.url: r.method_rule for r in urlrules.judge(df, urlrules.SITES + urlrules.METHOD, inline=inline).collect()}
+        assert got == cases
+
+
+def test_rules_as_a_table(spark):
+    """Far more rules than travel in a plan; one token in a third of all URLs; no rule without its URLs."""
+    rules = spark.range(3000).selectExpr("concat('hot ', id) as name", "if(id % 2 = 0, 'block', 'allow') as action", "concat('/hot/n', id, '(/|\\\\z)') as pattern", "array('hot', concat('n', id)) as tokens", "0 as rank")
+    urls = spark.range(900).selectExpr("id as page_id", "if(id % 3 = 0, concat('http://b.org/hot/n', id), concat('http://b.org/', id)) as url")
+    got = urlrules.judge_table(urls, rules).collect()
+    assert len(got) == 900
+    for r in got:
+        hot = r.page_id % 3 == 0
+        assert r.method_rule == (f"hot {r.page_id}" if hot else None) and r.verdict == ("block" if hot and r.page_id % 2 == 0 else "allow")
+
+
 def test_rarest_token():
     rules = urlrules.SITES
     by = urlrules.index(rules, {"com": 9, "example": 5, "en": 7, "www": 1, "net": 3, "es": 4, "fr": 2})
