@@ -47,13 +47,28 @@ def seeds(rows: DataFrame, cap: int = MAX_BUCKET) -> DataFrame:
     return left.join(right, ["h1", "h2"]).where("a < b").select("a", "b", "pa", "pb")
 
 
-def matches(pairs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """a, b, a_start, a_end, lag (pa - pb): seeds on one diagonal merge while they are consecutive."""
-    rows = pairs.withColumn("lag", F.col("pa") - F.col("pb"))
-    w = Window.partitionBy("a", "b", "lag").orderBy("pa")
-    rows = rows.withColumn("island", F.col("pa") - F.row_number().over(w))
-    found = rows.groupBy("a", "b", "lag", "island").agg(F.min("pa").alias("a_start"), (F.max("pa") + size).alias("a_end"))
-    return found.select("a", "b", "a_start", "a_end", "lag", (F.col("a_end") - F.col("a_start")).alias("len"))
+def matches(rows: DataFrame, size: int = WINDOW, cap: int = MAX_BUCKET) -> DataFrame:
+    """a, b, a_start, a_end, lag (pa - pb), len: seeds on one diagonal merge while they are consecutive.
+
+    Each window knows its neighbours, so a seed whose neighbours on both sides are seeds too is dropped within the join
+    that finds it: what moves on is the first and the last seed of every match.
+    """
+    fit = bucket_sizes(rows).where(F.col("n").between(2, cap)).select("h1", "h2")
+    kept = rows.join(fit, ["h1", "h2"])
+    w = Window.partitionBy("doc").orderBy("pos")
+    whole = F.struct("h1", "h2")
+    before = F.when(F.lag("pos").over(w) == F.col("pos") - 1, F.lag(whole).over(w))
+    after = F.when(F.lead("pos").over(w) == F.col("pos") + 1, F.lead(whole).over(w))
+    known = kept.withColumn("before", before).withColumn("after", after)
+    left = known.withColumnsRenamed({"doc": "a", "pos": "pa", "before": "ba", "after": "aa"})
+    right = known.withColumnsRenamed({"doc": "b", "pos": "pb", "before": "bb", "after": "ab"})
+    first, last = (~F.coalesce(F.col(x) == F.col(y), F.lit(False)) for x, y in (("ba", "bb"), ("aa", "ab")))
+    edges = left.join(right, ["h1", "h2"]).where((F.col("a") < F.col("b")) & (first | last))
+    edges = edges.select("a", "b", "pa", (F.col("pa") - F.col("pb")).alias("lag"), first.alias("first"), last.alias("last"))
+    diagonal = Window.partitionBy("a", "b", "lag").orderBy("pa")
+    end = F.when(F.col("last"), F.col("pa")).otherwise(F.lead("pa").over(diagonal)) + size
+    found = edges.withColumn("a_end", end).where("first")
+    return found.select("a", "b", F.col("pa").alias("a_start"), "a_end", "lag", (F.col("a_end") - F.col("pa")).alias("len"))
 
 
 def without_hosted(found: DataFrame, host_min: int = 60, lag_slack: int = 2) -> DataFrame:

@@ -23,7 +23,7 @@ def windows(spark, sf_dir) -> DataFrame:
 
 
 def matches(spark, sf_dir) -> DataFrame:
-    return ps.matches(ps.seeds(windows(spark, sf_dir)))
+    return ps.matches(windows(spark, sf_dir))
 
 
 TOKENS = r"""t AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents)"""
