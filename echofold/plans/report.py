@@ -13,6 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.audio import cut
 from .mine import Mined
 
 REASONS = {
@@ -123,8 +124,8 @@ def dump_matches(mined: Mined, folder: str) -> None:
 CUTS = "cluster_id long, file string, error string"
 
 
-def representatives(mined: Mined, folder: str) -> DataFrame:
-    """Cuts each cluster's representative airing out of its WAV recording into folder, in parallel; a failure is a row with an error."""
+def representatives(mined: Mined, folder: str, timeout: float = 900.0) -> DataFrame:
+    """Cuts each cluster's representative airing out of its recording into folder, as WAV, in parallel; a failure is a row with an error."""
     o = mined.occurrences
     off = F.abs((F.col("end_us") - F.col("start_us")) / 1e6 - F.col("duration"))
     rows = o.groupBy("cluster_id").agg(F.min(F.struct(off.alias("off"), "start_us", "end_us", "path", "offset_sec")).alias("m"))
@@ -137,15 +138,11 @@ def representatives(mined: Mined, folder: str) -> DataFrame:
             for k, path, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name, error = f"{root}/cluster_{k:05d}.wav", None
                 try:
-                    source, inner = pafs.FileSystem.from_uri(path)
-                    with source.open_input_file(inner) as f, wave.open(f, "rb") as w:
-                        rate = w.getframerate()
-                        w.setpos(min(w.getnframes(), int(offset * rate)))
-                        data = w.readframes(int(length * rate))  # ends with the file
-                        with fs.open_output_stream(name, compression=None) as raw, wave.open(Unseekable(raw), "wb") as out:
-                            out.setparams(w.getparams())
-                            out.setnframes(len(data) // (w.getsampwidth() * w.getnchannels()))
-                            out.writeframesraw(data)
+                    params, data = cut(path, offset, length, timeout)
+                    with fs.open_output_stream(name, compression=None) as raw, wave.open(Unseekable(raw), "wb") as out:
+                        out.setparams(params)
+                        out.setnframes(len(data) // (params.sampwidth * params.nchannels))
+                        out.writeframesraw(data)
                 except Exception as e:
                     error = f"{type(e).__name__}: {e}"
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((k, pa.int64()), (None if error else name, pa.string()), (error, pa.string()))], names=["cluster_id", "file", "error"])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import signal
 import subprocess
+import threading
 import uuid
 import wave
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ from ..kernels import dsp
 #: Fixed list of file extensions.
 EXTENSIONS = (".mp3", ".flac", ".wav", ".m4a", ".aac", ".ogg", ".opus", ".ts", ".mp2", ".mp4", ".mkv")
 PIECE = 1 << 20
+#: Samples a second of stretches that are cut out of recordings other than WAV.
+CUT_RATE = 44_100
 
 
 def files(spark: SparkSession, folder: str) -> list[str]:
@@ -113,34 +118,61 @@ def wav_pieces(file) -> Iterator[np.ndarray]:
         yield resample.feed(np.zeros(0), last=True)
 
 
-def tool_pieces(path: str, timeout: float) -> Iterator[np.ndarray]:
-    """The same of any other file, through ffmpeg in a process group of its own that a timeout kills as a whole."""
+def local_path(path: str) -> str | None:
+    """The name of a file that this machine has, else None."""
+    name = path.removeprefix("file://").removeprefix("file:")
+    return name if os.path.exists(name) else None
+
+
+def tool_output(path: str, timeout: float, options: list[str]) -> Iterator[bytes]:
+    """What ffmpeg writes of a recording's audio, under options, piece by piece.
+
+    A file of this machine is opened by the tool, any other is streamed to it from its file system. The tool runs in a
+    process group of its own, which a timeout kills as a whole.
+    """
     tool = shutil.which("ffmpeg")
     if tool is None:
         raise RuntimeError("only WAV can be read without ffmpeg")
-    local = path.removeprefix("file://").removeprefix("file:")
-    command = [tool, "-v", "error", "-nostdin", "-i", local, "-map", "0:a:0", "-ac", "1", "-ar", str(dsp.RATE), "-f", "s16le", "-"]
-    p = subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.PIPE, start_new_session=True)
-    import threading
-
-    late = threading.Event()
+    here = local_path(path)
+    command = [tool, "-v", "error", *(["-nostdin"] if here else []), "-i", here or "pipe:0", "-map", "0:a:0", *options, "-"]
+    p = subprocess.Popen(command, stdin=subprocess.DEVNULL if here else subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, start_new_session=True)
+    late, failed, errors = threading.Event(), [], []
 
     def kill():
         late.set()
         os.killpg(p.pid, signal.SIGKILL)
 
+    def feed():
+        try:
+            fs, inner = pafs.FileSystem.from_uri(path)
+            with fs.open_input_stream(inner, compression=None) as f:
+                while data := f.read(PIECE):
+                    p.stdin.write(data)
+        except BrokenPipeError:  # the tool has what it wants, or has ended: its status tells
+            pass
+        except Exception as e:
+            failed.append(e)
+        finally:
+            try:
+                p.stdin.close()
+            except OSError:
+                pass
+
     timer = threading.Timer(timeout, kill)
     timer.start()
-    errors: list[bytes] = []
-    reader = threading.Thread(target=lambda: errors.append(p.stderr.read()), daemon=True)
-    reader.start()
+    readers = [threading.Thread(target=lambda: errors.append(p.stderr.read()), daemon=True)] + ([] if here else [threading.Thread(target=feed, daemon=True)])
+    for r in readers:
+        r.start()
     try:
         while data := p.stdout.read(2 * PIECE):
-            yield np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(np.float64) / 32768
+            yield data
         code = p.wait()
-        reader.join(1)
+        for r in readers:
+            r.join(1)
         if late.is_set():
             raise TimeoutError(f"decoding took more than {timeout:g} s")
+        if failed:
+            raise failed[0]
         if code:
             raise RuntimeError(b"".join(errors).decode(errors="replace").strip()[-600:] or f"decoder ended with {code}")
     finally:
@@ -150,14 +182,48 @@ def tool_pieces(path: str, timeout: float) -> Iterator[np.ndarray]:
             p.wait()
 
 
+def tool_pieces(path: str, timeout: float) -> Iterator[np.ndarray]:
+    """Mono samples in [-1, 1] at the analysis rate of any file that ffmpeg reads."""
+    for data in tool_output(path, timeout, ["-ac", "1", "-ar", str(dsp.RATE), "-f", "s16le"]):
+        yield np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(np.float64) / 32768
+
+
+class Params(NamedTuple):
+    """What a WAV file's header says."""
+
+    nchannels: int
+    sampwidth: int
+    framerate: int
+    nframes: int
+    comptype: str = "NONE"
+    compname: str = "not compressed"
+
+
+def cut(path: str, offset: float, length: float, timeout: float) -> tuple[Params, bytes]:
+    """Parameters and frames of a stretch of a recording (in seconds; it ends with the file), of WAV files as they are."""
+    if path.lower().endswith(".wav"):
+        source, inner = pafs.FileSystem.from_uri(path)
+        with source.open_input_file(inner) as f, wave.open(f, "rb") as w:
+            rate = w.getframerate()
+            w.setpos(min(w.getnframes(), int(offset * rate)))
+            return Params(*w.getparams()), w.readframes(int(length * rate))
+    data = b"".join(tool_output(path, timeout, ["-ss", f"{offset:.3f}", "-t", f"{length:.3f}", "-ac", "2", "-ar", str(CUT_RATE), "-f", "s16le"]))
+    return Params(2, 2, CUT_RATE, len(data) // 4), data[: len(data) // 4 * 4]
+
+
 def probe(path: str) -> dict:
     """codec, rate and channels of a WAV file, or by ffprobe."""
-    import json
-
     if path.lower().endswith(".wav"):
-        with wave.open(path.removeprefix("file://").removeprefix("file:"), "rb") as w:
+        source, inner = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
+        with source.open_input_file(inner) as f, wave.open(f, "rb") as w:
             return {"codec": f"pcm_{8 * w.getsampwidth()}", "rate": w.getframerate(), "channels": w.getnchannels()}
-    out = subprocess.run(["ffprobe", "-v", "error", "-select_streams", "a:0", "-show_entries", "stream=codec_name,sample_rate,channels", "-of", "json", path], capture_output=True, timeout=60, check=True)
+    here, head = local_path(path), None
+    if not here:
+        fs, inner = pafs.FileSystem.from_uri(path)
+        with fs.open_input_stream(inner, compression=None) as f:
+            head = f.read(8 * PIECE)  # what names the codec is at the beginning
+    command = ["ffprobe", "-v", "error", "-select_streams", "a:0", "-show_entries", "stream=codec_name,sample_rate,channels", "-of", "json", here or "pipe:0"]
+    out = subprocess.run(command, input=head, capture_output=True, timeout=60, check=True)
     s = json.loads(out.stdout)["streams"][0]
     return {"codec": s["codec_name"], "rate": int(s["sample_rate"]), "channels": int(s.get("channels") or 1)}
 

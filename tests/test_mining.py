@@ -1,7 +1,9 @@
 """Whole runs over generated broadcasts."""
 
 import json
+import os
 
+import numpy as np
 import pytest
 import synth
 from pyspark.sql import functions as F
@@ -188,3 +190,37 @@ def test_gain_and_trim(spark, tmp_path):
     good, _ = audio.scan(spark, str(tmp_path))
     got = found(mine(spark, good, OPTIONS))
     assert len(got) == 1 and agrees(got[1], [20 + 55 * k for k in range(6)], 20, 1.0)
+
+
+FAKE = """#!/usr/bin/env python3
+import sys
+a = sys.argv
+data = sys.stdin.buffer.read() if "pipe:0" in a else open(a[a.index("-i") + 1], "rb").read()
+if data == b"bad":
+    sys.exit("not audio")
+if "-ss" in a:
+    low, n, rate = float(a[a.index("-ss") + 1]), float(a[a.index("-t") + 1]), int(a[a.index("-ar") + 1])
+    data = data[int(low * rate) * 4 :][: int(n * rate) * 4]
+sys.stdout.buffer.write(data)
+"""
+
+
+def test_tool_reads_what_is_not_local(tmp_path, monkeypatch):
+    """The tool gets a local file's name, and any other file as a stream."""
+    tool = tmp_path / "bin" / "ffmpeg"
+    tool.parent.mkdir()
+    tool.write_text(FAKE)
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tool.parent}:{os.environ['PATH']}")
+    samples = np.arange(-40_000, 40_000, 2, dtype="<i4").clip(-32768, 32767).astype("<i2")
+    (tmp_path / "x.mp3").write_bytes(samples.tobytes() * 40)
+    (tmp_path / "y.mp3").write_bytes(b"bad")
+    for hidden in (False, True):
+        if hidden:
+            monkeypatch.setattr(audio, "local_path", lambda path: None)
+        got = np.concatenate(list(audio.tool_pieces(f"file://{tmp_path}/x.mp3", 60)))
+        assert len(got) == 40 * len(samples) and np.allclose(got[: len(samples)] * 32768, samples)
+        params, data = audio.cut(f"file://{tmp_path}/x.mp3", 1.0, 2.0, 60)
+        assert (params.nchannels, params.framerate, len(data)) == (2, audio.CUT_RATE, 4 * 2 * audio.CUT_RATE)
+        with pytest.raises(RuntimeError, match="not audio"):
+            list(audio.tool_pieces(f"file://{tmp_path}/y.mp3", 60))
