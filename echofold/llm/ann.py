@@ -8,9 +8,11 @@ k + 1 ids. W is calibrated: it widens until, over the sample, the mean recall ag
 target. More leaves (about the square root of the number of vectors) keep a leaf small as the data grows.
 
 Equal vectors are one entry with their k + 1 smallest ids, which is all that any query can need of them;
-equal query vectors are searched for once. The entries of a leaf are dealt to blocks of about BLOCK, its queries to
-blocks of about QUERY_BLOCK, and every two of them meet in a group of their own; of a group's rows only the
-entries are held, queries stream past them.
+equal query vectors are searched for once. Neighbouring leaves are packed together up to BLOCK entries, a leaf of more
+is dealt to blocks of about that size. A query goes to a pack once, with the leaves that it visits there, and leaves it
+with k + 1 entries, so neither its vector nor its hits are repeated by leaf. A pack's queries are dealt to blocks of about
+QUERY_BLOCK, and every two blocks meet in a group of their own; of a group's rows only the entries are held, queries
+stream past them, SCORES scores at a time.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
 with a null id. A row that repeats (id and vector) counts once; rows of the query's own id are no candidates. Ties
@@ -35,8 +37,11 @@ K = 5
 SAMPLE = 20_000
 BRANCH = 8
 MAX_LEAVES = 4096
-BLOCK = 4096
+BLOCK = 16384
 QUERY_BLOCK = 8192
+SCORES = 1 << 21
+#: Rows in which queries leave the task that opens their leaves.
+SENT = 4096
 LEAST_SAMPLE = 256
 RECALL = 0.97
 CALIBRATION = 256
@@ -177,7 +182,7 @@ class Forest:
     """A tree and its calibrated width by length of vectors; lengths without a tree are one leaf."""
 
     def __init__(self, trees: dict[int, tuple[Tree, int]]):
-        self.trees, self.held = trees, {}
+        self.trees, self.held, self.packs = trees, {}, {}
 
     def assign(self, dim: int, x: np.ndarray) -> np.ndarray:
         return self.trees[dim][0].assign(x) if dim in self.trees else np.zeros(len(x), np.int32)
@@ -188,6 +193,24 @@ class Forest:
         tree, width = self.trees[dim]
         return tree.visits(q, width, self.held[dim], least)
 
+    def stops(self, dim: int, q: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(pack, leaves) that a query visits; leaves without entries are in no pack."""
+        seen = np.sort(np.array(self.visits(dim, q, least), np.int32))
+        pack = self.packs[dim][seen]
+        for p in np.unique(pack[pack >= 0]):
+            yield int(p), seen[pack == p]
+
+
+def packed(sizes: dict[int, int], most: int) -> dict[int, int]:
+    """The pack of each leaf: neighbouring leaves share one of at most ``most`` entries; a leaf of more is a pack by itself."""
+    out, pack, held = {}, -1, most
+    for leaf in sorted(sizes):
+        if held + sizes[leaf] > most:
+            pack, held = pack + 1, 0
+        out[leaf] = pack
+        held += sizes[leaf]
+    return out
+
 
 def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, rows, unit vectors) of the vectors (column v) of a batch, for each length (column dim) in it."""
@@ -233,32 +256,56 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", column: str = "
                 yield pa.RecordBatch.from_arrays([batch.column("dim"), pa.array(home, pa.int32()), batch.column("v"), batch.column("ids")], names=["dim", "leaf", "v", "ids"])
 
     homes = written(entries.select("dim", "v", "ids").mapInArrow(leaf, "dim int, leaf int, v binary, ids array<long>"), "homes")
-    blocks = written(homes.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"), F.sum(F.size("ids")).alias("n_ids")), "leaves")
+    blocks = written(homes.groupBy("dim", "leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("n_ids")), "leaves")
     forest.held = {dim: np.zeros(len(tree.leaf), np.int64) for dim, (tree, _) in trees.items()}
+    found: dict[int, dict[int, int]] = {}
     for r in blocks.collect():  # a row a leaf
+        found.setdefault(r.dim, {})[r.leaf] = r.n
         if r.dim in trees:
             forest.held[r.dim][r.leaf] = r.n_ids
+    plans = []
+    for dim, sizes_of in found.items():
+        pack = packed(sizes_of, BLOCK)
+        forest.packs[dim] = np.full(max(pack) + 1 if dim not in trees else len(trees[dim][0].leaf), -1, np.int32)
+        forest.packs[dim][list(pack)] = list(pack.values())
+        total: dict[int, int] = {}
+        for leaf_no, p in pack.items():
+            total[p] = total.get(p, 0) + sizes_of[leaf_no]
+        plans += [(dim, leaf_no, p, math.ceil(total[p] / BLOCK)) for leaf_no, p in pack.items()]
+    packs = written(spark.createDataFrame(plans, "dim int, leaf int, pack int, n int"), "packs")  # a row a leaf
     weighed = spark.sparkContext.broadcast(forest)
 
     def open_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(batch: pa.RecordBatch, at: list[int], pack: list[int], leaves: list[np.ndarray]) -> pa.RecordBatch:
+            rows = batch.take(pa.array(at))
+            return pa.RecordBatch.from_arrays([rows.column("dim"), pa.array(pack, pa.int32()), rows.column("qid"), rows.column("v"), pa.array(leaves, pa.list_(pa.int32()))], names=["dim", "pack", "qid", "v", "leaves"])
+
         for batch in batches:
             for dim, at, x in by_length(batch) if batch.num_rows else ():
-                seen = [weighed.value.visits(dim, q, k + 1) for q in x]
-                rows = batch.take(pa.array(np.repeat(at, [len(s) for s in seen])))
-                yield pa.RecordBatch.from_arrays([rows.column("dim"), pa.array(np.concatenate(seen), pa.int32()), rows.column("qid"), rows.column("v")], names=["dim", "leaf", "qid", "v"])
+                out: tuple[list, list, list] = ([], [], [])
+                for i, q in zip(at, x, strict=True):
+                    for pack, leaves in weighed.value.stops(dim, q, k + 1):
+                        out[0].append(i)
+                        out[1].append(pack)
+                        out[2].append(leaves)
+                    if len(out[0]) >= SENT:
+                        yield send(batch, *out)
+                        out = ([], [], [])
+                if out[0]:
+                    yield send(batch, *out)
 
     # queries: all members, also those beyond the ids that their entry keeps
     asked = written(rows.where(queries).select("id", "dim", "v").distinct(), "asked")
     numbered = written(asked.select("dim", "v").distinct().select(F.monotonically_increasing_id().alias("qid"), "dim", "v"), "queries")
-    visits = written(numbered.mapInArrow(open_leaves, "dim int, leaf int, qid long, v binary"), "visits")
-    crowd = visits.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("m"))
-    plan = F.broadcast(blocks.join(crowd, ["dim", "leaf"]).select("dim", "leaf", "n", "m"))  # a row a leaf
+    visits = written(numbered.mapInArrow(open_leaves, "dim int, pack int, qid long, v binary, leaves array<int>"), "visits")
+    crowd = visits.groupBy("dim", "pack").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("m"))
+    plan = packs.join(crowd, ["dim", "pack"])
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     part = lambda x, c: F.pmod(F.xxhash64(x), F.col(c)).cast("int")
-    dealt = homes.join(plan, ["dim", "leaf"]).withColumn("g", part("v", "n")).withColumn("f", every("m"))
-    dealt = dealt.select("dim", "leaf", "g", "f", F.lit(0).alias("side"), F.lit(None).cast("long").alias("qid"), "v", "ids")
-    sent = visits.join(plan, ["dim", "leaf"]).withColumn("f", part("qid", "m")).withColumn("g", every("n"))
-    sent = sent.select("dim", "leaf", "g", "f", F.lit(1).alias("side"), "qid", "v", F.lit(None).cast("array<long>").alias("ids"))
+    dealt = homes.join(F.broadcast(plan), ["dim", "leaf"]).withColumn("g", part("v", "n")).withColumn("f", every("m"))
+    dealt = dealt.select("dim", "pack", "g", "f", F.lit(0).alias("side"), F.lit(None).cast("long").alias("qid"), "v", "ids", F.array("leaf").alias("leaves"))
+    sent = visits.join(F.broadcast(plan.select("dim", "pack", "n", "m").distinct()), ["dim", "pack"]).withColumn("f", part("qid", "m")).withColumn("g", every("n"))
+    sent = sent.select("dim", "pack", "g", "f", F.lit(1).alias("side"), "qid", "v", F.lit(None).cast("array<long>").alias("ids"), "leaves")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = None
@@ -266,26 +313,45 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", column: str = "
             if fresh:
                 data = None
             if not group[0][0]:
-                data, ids = matrix([r[2] for r in group]), [r[3] for r in group]
+                leaf_of = np.array([r[4][0] for r in group])
+                order = np.argsort(leaf_of, kind="stable")
+                data, ids = matrix([group[i][2] for i in order]), [group[i][3] for i in order]
                 first, units = np.array([i[0] for i in ids]), unit(data)
+                names, begins = np.unique(leaf_of[order], return_index=True)
+                ends = {leaf: (a, b) for leaf, a, b in zip(names.tolist(), begins.tolist(), [*begins[1:].tolist(), len(data)], strict=True)}
                 continue
             if data is None:
                 continue
-            q = matrix([r[2] for r in group])
-            keep = min(len(data), k + 1)
-            out: tuple[list, list, list] = ([], [], [])
-            for i, s in enumerate(unit(q) @ units.T):
-                # all within rounding of the last one kept are ranked by the exact measure
-                last = -np.partition(-s, keep - 1)[keep - 1]
-                near = np.flatnonzero(s >= last - 1e-9)
-                score = cosine(q[i], data[near])
-                for j in np.lexsort((first[near], -score))[:keep]:
-                    out[0].append(group[i][1])
-                    out[1].append(score[j])
-                    out[2].append(ids[near[j]])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int64()))], names=["qid", "score", "ids"])
-
-    met = dealt.unionByName(sent).repartition(parts, "dim", "leaf", "g", "f").sortWithinPartitions("dim", "leaf", "g", "f", "side")
+            step = max(1, SCORES // len(data))
+            for rows in (group[a : a + step] for a in range(0, len(group), step)):
+                q = matrix([r[2] for r in rows])
+                near_to, by_leaf = unit(q), {}
+                for i, r in enumerate(rows):
+                    for leaf in r[4]:
+                        by_leaf.setdefault(leaf, []).append(i)
+                scores = np.full((len(rows), len(data)), -2.0)
+                seen = np.zeros(len(rows), np.int64)
+                for leaf, who in by_leaf.items():
+                    a, b = ends.get(leaf, (0, 0))
+                    if b > a:
+                        scores[who, a:b] = near_to[who] @ units[a:b].T
+                        seen[who] += b - a
+                out: tuple[list, list, list] = ([], [], [])
+                for i, s in enumerate(scores):
+                    keep = min(int(seen[i]), k + 1)
+                    if not keep:
+                        continue
+                    # all within rounding of the last one kept are ranked by the exact measure
+                    last = np.partition(s, len(s) - keep)[len(s) - keep]
+                    near = np.flatnonzero(s >= last - 1e-9)
+                    score = cosine(q[i], data[near])
+                    for j in np.lexsort((first[near], -score))[:keep]:
+                        out[0].append(rows[i][1])
+                        out[1].append(score[j])
+                        out[2].append(ids[near[j]])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.list_(pa.int64()))], names=["qid", "score", "ids"])
+
+    met = dealt.unionByName(sent).repartition(parts, "dim", "pack", "g", "f").sortWithinPartitions("dim", "pack", "g", "f", "side")
     hits = met.mapInArrow(search, "qid long, score double, ids array<long>")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), F.element_at("ids", 1))
     hits = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
@@ -293,7 +359,7 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", column: str = "
     pairs = members.join(hits, "qid").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = written(pairs.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
-    drop_tables(entries, sizes, homes, blocks, asked, numbered, visits)
+    drop_tables(entries, sizes, homes, blocks, packs, asked, numbered, visits)
     return out
 
 

@@ -99,3 +99,37 @@ def test_every_length_takes_part(spark, monkeypatch):
                 s = sorted((-float(mine[i] @ mine[j] / np.linalg.norm(mine[i]) / np.linalg.norm(mine[j])), j) for j in mine if j != i)
                 want[i] = [j for _, j in s[:5]]
     assert out == want
+
+
+def test_packs():
+    sizes = {0: 3, 1: 4, 3: 9, 4: 25, 5: 1, 7: 9, 8: 1}
+    assert ann.packed(sizes, 10) == {0: 0, 1: 0, 3: 1, 4: 2, 5: 3, 7: 3, 8: 4}
+    assert ann.packed({0: 12}, 10) == {0: 0}
+
+
+def test_a_query_is_sent_once_a_pack(spark, monkeypatch):
+    tables = {}
+    keep = ann.written
+    monkeypatch.setattr(ann, "written", lambda df, name: tables.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(ann, "drop_tables", lambda *t: None)
+    monkeypatch.setattr(ann, "SENT", 7)
+    data = rows(900, 1)
+    got = ann.nearest(spark.createDataFrame(data, SCHEMA), F.col("id") % 50 == 0, target=1.1, leaves=64)
+    out = {}
+    for r in sorted(got.collect()):
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    assert out == brute(data, 50)
+    queries, leaves = tables["queries"].where("dim = 8").count(), tables["leaves"].where("dim = 8").count()
+    assert leaves > 16 and tables["visits"].where("dim = 8").count() == queries  # all leaves are in one pack
+
+
+def test_leaves_in_several_packs(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(ann, "SCORES", 300)
+    data = rows(900, 150)
+    got = ann.nearest(spark.createDataFrame(data, SCHEMA), F.col("id") % 50 == 0, target=1.1, leaves=32)
+    out = {}
+    for r in sorted(got.collect()):
+        out.setdefault(r.query_id, []).append(r.vec_id)
+    assert out == brute(data, 50)
