@@ -1,12 +1,14 @@
 """Operators on small tables with known results."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from echofold.operators import boundaries, chains, search
+from echofold.operators import boundaries, chains, search, timeline
 from echofold.operators.classify import ladder
 from echofold.operators.refine import spaced, weighted_union
 from echofold.operators.relational import islands, range_join, upper_median
+from echofold.plans import mine
 from echofold.plans.mine import classified
 
 M = search.MATCHES
@@ -142,3 +144,46 @@ def test_verdicts(spark):
     assert got[4][1] == "accompanied" and got[8][1] == "alone" and got[6][1] == "long unit"
     edge = spark.createDataFrame([(8.0, 8.0, 2, 1, False), (120.0, 120.0, 2, 1, False)], "d double, unit double, n long, top long, accompanied boolean")
     assert all(r.is_spot for r in ladder(edge).collect())
+
+
+def crowded(spark, n=1500, clusters=60, seconds=40):
+    """Few seconds and many clusters; clusters 1 and 2 follow each other by a second."""
+    rng = np.random.default_rng(3)
+    start = rng.integers(0, seconds, n) * 1_000_000
+    rows = [(int(c), int(s), int(s + 1_000_000 * (2 + c % 5)), k) for k, (c, s) in enumerate(zip(rng.integers(10, 10 + clusters, n), start, strict=True))]
+    rows += [(1, 10_000_000 * k, 10_000_000 * k + 4_000_000, n + k) for k in range(9)] + [(2, 10_000_000 * k + 5_000_000, 10_000_000 * k + 6_000_000, 2 * n + k) for k in range(9)]
+    rows += [(None, 0, 1, 3 * n), (3, None, 5, 3 * n + 1), (4, 5, None, 3 * n + 2)]
+    return spark.createDataFrame(rows, "c long, s long, e long, k long")
+
+
+@pytest.mark.parametrize("sizes", [(2_000_000, 500_000, 1 << 22), (300, 100, 1 << 22), (300, 700, 16)])
+@pytest.mark.parametrize("share", [0.8, 0.3])
+def test_mostly_followed(spark, monkeypatch, sizes, share):
+    for name, value in zip(("HELD", "STREAMED", "COUNTED"), sizes, strict=True):
+        monkeypatch.setattr(timeline, name, value)
+    a = crowded(spark)
+    n = {r.c: r["count"] for r in a.groupBy("c").count().collect()}
+    want = {(r.i, r.j) for r in timeline.followed(a, "c", "s", "e", 1_000_000, 5_000_000).collect() if r.n >= share * n[r.i] and r.n >= share * n[r.j]}
+    got = timeline.mostly_followed(a, "c", "s", "e", 1_000_000, 5_000_000, share).collect()
+    assert (1, 2) in want and len(got) == len(want) and {(r.i, r.j) for r in got} == want
+    assert not timeline.mostly_followed(a.limit(0), "c", "s", "e", 1_000_000, 5_000_000, share).count()
+
+
+def test_verdicts_count_pairs_where_they_are_found(spark, monkeypatch):
+    rows = [(c, 6.0, 1_000_000 * s, 1_000_000 * (s + 6), 100 * s + c) for s in range(0, 40, 2) for c in range(s % 4, 200, 4)]
+    o = spark.createDataFrame(rows, "cluster_id long, duration double, start_us long, end_us long, frame long")
+    seen = []
+    keep = mine.connected_components
+    monkeypatch.setattr(mine, "connected_components", lambda edges: seen.append(edges._jdf.queryExecution().toString()) or keep(edges))
+    assert mine.classified(o).count() == 100
+    plan = seen[0].split("== Physical Plan ==")[1]
+    assert "Join" not in plan
+
+
+def test_company_of_a_crowded_place(spark):
+    """Of a place the latest starts count, of two clusters."""
+    rows = [(c, 100 - c % 3, 110, c) for c in range(20)] + [(50, 110, 120, 50), (51, 300, 310, 51), (52, 310, 320, 52), (52, 290, 310, 53)]
+    a = spark.createDataFrame(rows, "cl long, st long, en long, id long")
+    for reach in (11, 12, 15, 1000):
+        want = {x[3] for x in rows for y in rows if y[0] != x[0] and y[1] >= x[1] - reach and (x[1] - 2 < y[2] <= x[1] + 2 or x[2] - 2 <= y[1] <= x[2] + 2)}
+        assert {r.id for r in timeline.accompanied(a, "id", "cl", "st", "en", 2, reach).collect()} == want
