@@ -187,3 +187,44 @@ def test_company_of_a_crowded_place(spark):
     for reach in (11, 12, 15, 1000):
         want = {x[3] for x in rows for y in rows if y[0] != x[0] and y[1] >= x[1] - reach and (x[1] - 2 < y[2] <= x[1] + 2 or x[2] - 2 <= y[1] <= x[2] + 2)}
         assert {r.id for r in timeline.accompanied(a, "id", "cl", "st", "en", 2, reach).collect()} == want
+
+
+def crossing(spark, n=400):
+    """Matches of few lags that lie over each other, so that a place is carried to another by many of them."""
+    rng = np.random.default_rng(5)
+    start = rng.integers(0, 900, n)
+    rows = [(int(s), int(s + size), int(lag), int(s + size // 2) if k % 7 == 0 else 0, int(lag + 6) if k % 7 == 0 else 0, 0.9, int(a), int(a + b)) for k, (s, size, lag, a, b) in enumerate(zip(start, rng.integers(40, 300, n), rng.choice([1000, 1040, 1100], n), rng.integers(0, 3, n), rng.integers(0, 2, n), strict=True))]
+    return boundaries.with_b(spark.createDataFrame(rows, M))
+
+
+@pytest.mark.parametrize("bucket", [6000, 50])
+def test_weighed_cuts_equal_those_of_all_carried_votes(spark, monkeypatch, bucket):
+    monkeypatch.setattr(boundaries, "BUCKET", bucket)
+    m = crossing(spark)
+    first = boundaries.votes(m)
+    binned = boundaries.binned(first)
+    every = boundaries.binned(first.unionByName(boundaries.carried(binned, m)))
+    want = sorted(map(tuple, every.select("run", "pos", F.size("events").alias("n"), boundaries.independent(F.col("events"), F.col("pos")).alias("free")).collect()))
+    got = sorted(map(tuple, boundaries.weighed(first, binned, m).collect()))
+    assert got == want and {x[3] for x in want} == {True, False}
+    assert sorted(boundaries.cut(m).collect()) == sorted(boundaries.kept_cuts(every, boundaries.sides(m)).collect())
+
+
+def test_a_cut_is_carried_once_a_lag(spark):
+    """Matches over each other carry a cut to one place, however many they are."""
+    m = boundaries.with_b(matches(spark, [(100 + k, 700 + k, 2000) for k in range(200)]))
+    cuts = boundaries.binned(boundaries.votes(m))
+    lent = boundaries.borrowed(cuts, m)
+    assert lent.count() < boundaries.carried(cuts, m).select("run", "pos").count() / 50
+    assert lent.distinct().count() == lent.count()
+
+
+def test_long_matches_are_not_compared_with_hosts(spark):
+    rows = [(0, 2400, 5000), (100, 1700, 5050), (200, 1800, 5100), (300, 400, 5200), (3000, 3100, 5200), (0, 3600, 9000)]
+    got = {(r.a_start, r.lag) for r in boundaries.without_internal(matches(spark, rows)).collect()}
+    want = set()
+    for s, e, lag in rows:
+        covers = [1 for x, y, g in rows if y - x >= 1200 and x <= s and e <= y and x - g <= s - lag and e - lag <= y - g and y - x >= (e - s) * 3 // 2 and abs(g - lag) > 10]
+        if not covers:
+            want.add((s, lag))
+    assert got == want and 0 < len(want) < len(rows)
